@@ -137,6 +137,30 @@ SELECT o_orderkey AS id,
 FROM orders"""
 
 
+def _wcs_headers(d: Dialect) -> str:
+    s, pad = d.string, d.pad2
+    tan = '"CTYPE1":"RA---TAN","CTYPE2":"DEC--TAN",'
+    center = (
+        f"""'"CRVAL1":"' || {s('(o_orderkey * 37) % 360')} || '.' || {pad('o_orderkey % 100')}"""
+        f""" || '","CRVAL2":"' || {s('(o_orderkey * 53) % 160 - 80')} || '.' """
+        f"""|| {pad('o_orderkey % 97')} || '"'"""
+    )
+    return f"""
+SELECT o_orderkey AS id,
+  '{{"NAXIS1":"3000","NAXIS2":"2000",' || CASE o_orderkey % 4
+  WHEN 0 THEN '{tan}' || {center} || ',"CRPIX1":"1500.5","CRPIX2":"1000.5","CD1_1":"-0.0003",'
+    || '"CD1_2":"0.0001","CD2_1":"0.0001","CD2_2":"0.0003"'
+  WHEN 1 THEN '{tan}' || {center} || ',"CRPIX1":"1500","CRPIX2":"1000","CDELT1":"-0.0004",'
+    || '"CDELT2":"0.0004","CROTA2":"' || {s('o_orderkey % 90')} || '"'
+  WHEN 2 THEN {center} || ',"PIXSCALE":"1.5","ROTATION":"15"'
+  ELSE '"RA":"' || {s('o_orderkey % 360')} || '.5","DEC":"-' || {s('o_orderkey % 90')}
+    || ' 30 00"' END || '}}' AS header_json,
+  CASE WHEN o_orderkey % 10 = 0 THEN '{{{tan}"CRVAL1":"100.25","CRVAL2":"45.5",'
+    || '"CRPIX1":"10","CRPIX2":"20","CD1_1":"0.001","CD1_2":"0","CD2_1":"0","CD2_2":"-0.001"}}'
+    END AS wcs_json
+FROM orders"""
+
+
 def _pixels(d: Dialect) -> str:
     return """
 SELECT l_orderkey % 50 AS image_id, l_orderkey * 10 + l_linenumber AS pixel_ix,
@@ -241,6 +265,7 @@ _VIEWS = {
     "images": (_images, ()),
     "catalog": (_catalog, ()),
     "headers": (_headers, ()),
+    "wcs_headers": (_wcs_headers, ()),
     "pixels": (_pixels, ()),
     "status_events": (_status_events, ()),
     "request_log": (_request_log, ()),
@@ -342,6 +367,7 @@ _SOURCES = {
     "images": "orders",
     "catalog": "part",
     "headers": "orders",
+    "wcs_headers": "orders",
     "pixels": "lineitem",
     "status_events": "events",
     "request_log": "events",

@@ -9,6 +9,7 @@ from checks.fixtures import PIXELS, PROJECTED, duck, separation_sql, table, view
 from checks.registry import Registry
 from skyframe.functions import geo
 from skyframe.operators import crossmatch
+from skyframe.operators import matches as match_tables
 
 registry = Registry()
 
@@ -74,3 +75,226 @@ def d5(spark, sf_dir):
 
 
 _GEOMETRY = ("ra_center_degrees", "dec_center_degrees", "field_radius_degrees")
+
+
+# --- geometry ---------------------------------------------------------------------------------
+
+
+def solved_images(spark, sf_dir):
+    return view(spark, sf_dir, "images").filter("is_plate_solved")
+
+
+@registry.query(
+    "d1_angular_separation",
+    duck("images")
+    + "SELECT id, round_even("
+    + separation_sql("ra_center_degrees", "dec_center_degrees", "10.68::double", "41.27::double")
+    + ", 6) AS separation FROM images",
+)
+def d1(spark, sf_dir):
+    sep = geo.angular_separation("ra_center_degrees", "dec_center_degrees", 10.68, 41.27)
+    return view(spark, sf_dir, "images").select("id", F.bround(sep, 6).alias("separation"))
+
+
+_SHIFTED = (
+    "shifted AS (SELECT *, ra_center_degrees + 0.05::double AS ra_degrees, dec_center_degrees"
+    " * 0.999::double AS dec_degrees FROM images WHERE is_plate_solved), plane AS ("
+    + PROJECTED.format(source="shifted")
+    + "), placed AS ("
+    + PIXELS.format(source="plane")
+    + ")"
+)
+
+
+@registry.query(
+    "d6_sky_to_pixel",
+    duck("images") + ", " + _SHIFTED + " SELECT id, round_even(px, 3) AS x, round_even(py, 3) AS y,"
+    " coalesce(dr > 0, false) AS ok FROM placed",
+)
+def d6(spark, sf_dir):
+    pixel = geo.sky_to_pixel(
+        F.col("ra_center_degrees") + 0.05, F.col("dec_center_degrees") * 0.999,
+        "ra_center_degrees", "dec_center_degrees", "pixel_scale_arcsec", "rotation_degrees",
+        "parity", "width_pixels", "height_pixels",
+    )
+    return solved_images(spark, sf_dir).select("id", pixel.alias("p")).select(
+        "id", F.bround("p.x", 3).alias("x"), F.bround("p.y", 3).alias("y"), "p.ok"
+    )
+
+
+_CD = (
+    "-pixel_scale_arcsec / 3600 * parity * cos(radians(rotation_degrees)) AS cd11,"
+    " pixel_scale_arcsec / 3600 * sin(radians(rotation_degrees)) AS cd12,"
+    " -pixel_scale_arcsec / 3600 * parity * sin(radians(rotation_degrees)) AS cd21,"
+    " -pixel_scale_arcsec / 3600 * cos(radians(rotation_degrees)) AS cd22"
+)
+
+
+@registry.query(
+    "d7_pixel_to_sky_linear",
+    duck("images") + f", m AS (SELECT *, {_CD}, 10 - width_pixels / 2 AS dx, 20 - height_pixels / 2"
+    " AS dy FROM images WHERE is_plate_solved), n AS (SELECT id, ra_center_degrees + (cd11 * dx +"
+    " cd12 * dy) / CASE WHEN abs(dec_center_degrees) < 89.9 THEN cos(radians(dec_center_degrees))"
+    " ELSE 1 END AS ra, dec_center_degrees + cd21 * dx + cd22 * dy AS dec FROM m)"
+    " SELECT id, round_even(((ra % 360) + 360) % 360, 6) AS ra,"
+    " round_even(greatest(-90, least(90, dec)), 6) AS dec FROM n",
+)
+def d7(spark, sf_dir):
+    sky = geo.pixel_to_sky_linear(
+        10.0, 20.0, "width_pixels", "height_pixels", "ra_center_degrees", "dec_center_degrees",
+        "pixel_scale_arcsec", "rotation_degrees", "parity",
+    )
+    return solved_images(spark, sf_dir).select("id", sky.alias("s")).select(
+        "id", F.bround("s.ra", 6).alias("ra"), F.bround("s.dec", 6).alias("dec")
+    )
+
+
+# Sky position of plane coordinates xi, eta (radians) about ra0, dec0 (degrees).
+DEPROJECT = (
+    "((ra0 + degrees(atan2(xi, cos(radians(dec0)) - eta * sin(radians(dec0))))) % 360 + 360) % 360"
+    " AS ra, degrees(atan2(sin(radians(dec0)) + eta * cos(radians(dec0)), sqrt(xi * xi +"
+    " pow(cos(radians(dec0)) - eta * sin(radians(dec0)), 2)))) AS dec"
+)
+
+
+@registry.query(
+    "d8_pixel_to_sky",
+    duck("images") + f", m AS (SELECT *, {_CD}, 11 - width_pixels / 2 AS u, 21 - height_pixels / 2"
+    " AS v, ra_center_degrees AS ra0, dec_center_degrees AS dec0 FROM images WHERE is_plate_solved),"
+    " n AS (SELECT id, ra0, dec0, radians(cd11 * u + cd12 * v) AS xi, radians(cd21 * u + cd22 * v)"
+    f" AS eta FROM m), o AS (SELECT id, {DEPROJECT} FROM n)"
+    " SELECT id, round_even(ra, 6) AS ra, round_even(dec, 6) AS dec FROM o",
+)
+def d8(spark, sf_dir):
+    sky = geo.pixel_to_sky(
+        10.0, 20.0, "ra_center_degrees", "dec_center_degrees", "pixel_scale_arcsec",
+        "rotation_degrees", "parity", "width_pixels", "height_pixels",
+    )
+    return solved_images(spark, sf_dir).select("id", sky.alias("s")).select(
+        "id", F.bround("s.ra", 6).alias("ra"), F.bround("s.dec", 6).alias("dec")
+    )
+
+
+@registry.query(
+    "d12_frame_radius",
+    duck("images") + "SELECT id, round_even(sqrt(width_pixels * width_pixels + height_pixels *"
+    " height_pixels) / 2 * pixel_scale_arcsec / 3600, 9) AS radius FROM images",
+)
+def d12(spark, sf_dir):
+    radius = geo.frame_radius("width_pixels", "height_pixels", "pixel_scale_arcsec")
+    return view(spark, sf_dir, "images").select("id", F.bround(radius, 9).alias("radius"))
+
+
+# --- tables of matches ------------------------------------------------------------------------
+
+
+def blankless(df: DataFrame) -> DataFrame:
+    """Half of the matches as an older run wrote them, without blanks."""
+    plain = F.regexp_replace("catalog_designation", " ", "")
+    return df.withColumn(
+        "catalog_designation",
+        F.when(F.col("image_id") % 2 == 0, plain).otherwise(F.col("catalog_designation")),
+    )
+
+
+_BLANKLESS = (
+    "older AS (SELECT m.* REPLACE (CASE WHEN image_id % 2 = 0 THEN replace(catalog_designation, ' ',"
+    " '') ELSE catalog_designation END AS catalog_designation) FROM matches m), placed AS (SELECT"
+    " o.*, c.ra_degrees, c.dec_degrees FROM older o LEFT JOIN catalog c ON c.catalog_type ="
+    " o.catalog_type AND (c.designation = o.catalog_designation OR (c.catalog_type = 'NAMED_STAR' AND"
+    " replace(c.designation, ' ', '') = o.catalog_designation)))"
+)
+
+
+@registry.query(
+    "e5_match_coordinates",
+    duck("matches") + f", {_BLANKLESS} SELECT image_id, catalog_type, catalog_designation,"
+    " ra_degrees, dec_degrees FROM placed",
+)
+def e5(spark, sf_dir):
+    placed = match_tables.with_coordinates(
+        blankless(matches(spark, sf_dir)), view(spark, sf_dir, "catalog")
+    )
+    return placed.select(*match_tables.MATCH_KEY, "ra_degrees", "dec_degrees")
+
+
+@registry.query(
+    "d9_overlay_positions",
+    duck("matches") + f", {_BLANKLESS} SELECT image_id, catalog_type, catalog_designation,"
+    " ra_degrees, dec_degrees, round_even(x, 3) AS pixel_x, round_even(y, 3) AS pixel_y FROM placed",
+)
+def d9(spark, sf_dir):
+    overlay = match_tables.overlay_positions(
+        blankless(matches(spark, sf_dir)),
+        view(spark, sf_dir, "images"),
+        view(spark, sf_dir, "catalog"),
+    )
+    return overlay.withColumns(
+        {"pixel_x": F.bround("pixel_x", 3), "pixel_y": F.bround("pixel_y", 3)}
+    )
+
+
+def wcs_images(spark, sf_dir):
+    """Images with file and solver header maps."""
+    headers = view(spark, sf_dir, "wcs_headers").select(
+        "id",
+        F.from_json("header_json", "map<string,string>").alias("raw_header"),
+        F.from_json("wcs_json", "map<string,string>").alias("wcs_header"),
+    )
+    return view(spark, sf_dir, "images").join(headers, "id")
+
+
+_HJ = "json_extract_string(header_json, '$.{}')::double"
+
+
+@registry.query(
+    "d10_wcs_choice",
+    duck("images", "wcs_headers") + f", j AS (SELECT i.*, header_json, wcs_json, {_CD},"
+    " radians(coalesce(json_extract_string(header_json, '$.CROTA2')::double, 0)) AS t"
+    " FROM images i JOIN wcs_headers USING (id)) SELECT id,"
+    " CASE WHEN wcs_json IS NOT NULL THEN 'SOLVER_HEADER' WHEN id % 4 IN (0, 1) THEN 'FILE_HEADER'"
+    " WHEN id % 17 <> 0 THEN 'COLUMNS' END AS origin,"
+    f" round_even(CASE WHEN wcs_json IS NOT NULL THEN 100.25 WHEN id % 4 IN (0, 1) THEN"
+    f" {_HJ.format('CRVAL1')} ELSE ra_center_degrees END, 9) AS ra0,"
+    " CASE WHEN wcs_json IS NOT NULL THEN 10 WHEN id % 4 = 0 THEN 1500.5 WHEN id % 4 = 1 THEN 1500"
+    " WHEN id % 17 <> 0 THEN width_pixels / 2 END::double AS crpix1,"
+    " round_even(CASE WHEN wcs_json IS NOT NULL THEN 0 WHEN id % 4 = 0 THEN 0.0001 WHEN id % 4 = 1"
+    " THEN -0.0004 * sin(t) WHEN id % 17 <> 0 THEN cd12 END, 12) AS cd12 FROM j",
+)
+def d10(spark, sf_dir):
+    frames = wcs_images(spark, sf_dir)
+    return frames.select("id", match_tables.wcs_choice(frames).alias("w")).select(
+        "id", "w.origin", F.bround("w.ra0", 9).alias("ra0"), "w.crpix1",
+        F.bround("w.cd12", 12).alias("cd12"),
+    )
+
+
+@registry.query(
+    "k5_refresh_matches",
+    duck("matches") + ", old AS (SELECT image_id, catalog_type, catalog_designation, 9.5::double AS"
+    " separation, CASE WHEN image_id % 3 = 0 THEN 'MANUAL' ELSE 'AUTOMATIC' END AS source FROM"
+    " matches UNION ALL SELECT id, 'NGC', 'NGC-OLD', 1.5::double, 'AUTOMATIC' FROM images"
+    " WHERE id % 10 = 0), kept AS (SELECT * FROM old WHERE NOT (source = 'AUTOMATIC' AND"
+    " image_id IN (SELECT id FROM images WHERE is_plate_solved AND id % 2 = 0)))"
+    " SELECT image_id, catalog_type, catalog_designation, round_even(separation, 6) AS separation,"
+    " source FROM (SELECT * FROM kept UNION ALL SELECT image_id, catalog_type, catalog_designation,"
+    " separation, source FROM matches m WHERE image_id % 2 = 0 AND NOT EXISTS (FROM kept k WHERE"
+    " k.image_id = m.image_id AND k.catalog_type = m.catalog_type AND k.catalog_designation ="
+    " m.catalog_designation))",
+)
+def k5(spark, sf_dir):
+    """Old matches of all images, those with even ids matched again; every third row is manual."""
+    images, found = view(spark, sf_dir, "images"), matches(spark, sf_dir)
+    columns = ["image_id", "catalog_type", "catalog_designation", "separation", "source"]
+    manual = F.when(F.col("image_id") % 3 == 0, "MANUAL").otherwise("AUTOMATIC")
+    old = found.select(*columns[:3], F.lit(9.5).alias("separation"), manual.alias("source"))
+    stale = images.filter("id % 10 = 0").select(
+        F.col("id").alias("image_id"), F.lit("NGC").alias("catalog_type"),
+        F.lit("NGC-OLD").alias("catalog_designation"), F.lit(1.5).alias("separation"),
+        F.lit("AUTOMATIC").alias("source"),
+    )
+    again = images.filter("id % 2 = 0")
+    fresh = found.filter("image_id % 2 = 0").select(*columns)
+    return match_tables.refresh_matches(old.unionAll(stale), again, fresh).withColumn(
+        "separation", F.bround("separation", 6)
+    )

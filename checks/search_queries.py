@@ -58,9 +58,9 @@ _filter_query(
     "b6_exposure_closed", "exposure_time_seconds <= 120.5", exposure_max=120.5
 )
 _filter_query(
-    "b7_equipment", "camera_name ILIKE '%asi%' AND filter_name ILIKE '%i%'"
+    "b7_equipment", "camera_name ILIKE '%asi%' AND filter_name ILIKE '%o%'"
     " AND telescope_name ILIKE '%RC8%'", "id, camera_name, filter_name, telescope_name",
-    camera="asi", filter="i", telescope="rc8",
+    camera="asi", filter="o", telescope="rc8",
 )
 _filter_query("b8_gain_range", "gain BETWEEN 100 AND 120", "id, gain", gain_min=100, gain_max=120)
 _filter_query(

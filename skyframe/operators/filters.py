@@ -242,9 +242,8 @@ def box_filter(images: DataFrame, ra: float, dec: float, ra_width: float, dec_wi
     )
 
 
-def incomplete_metadata(images: DataFrame) -> DataFrame:
-    """Images that lack a dimension, the exposure or the camera."""
-    return images.filter(
+def lacks_metadata() -> Column:
+    return (
         F.col("width_pixels").isNull()
         | F.col("height_pixels").isNull()
         | F.col("exposure_time_seconds").isNull()
@@ -252,6 +251,11 @@ def incomplete_metadata(images: DataFrame) -> DataFrame:
     )
 
 
+def incomplete_metadata(images: DataFrame) -> DataFrame:
+    """Images that lack a dimension, the exposure or the camera."""
+    return images.filter(lacks_metadata())
+
+
 def header_entries(headers: DataFrame, map_col: str, key_cols: list[str], term: str = ""):
     """Header entries as rows, those whose key or value contains ``term`` ignoring case."""
     entries = headers.select(*key_cols, F.explode(map_col).alias("key", "value"))
