@@ -206,7 +206,7 @@ FROM images WHERE id % 31 = 0 AND id % 29 <> 0"""
 
 def _catalog_raw(d: Dialect) -> str:
     s, pad = d.string, d.pad2
-    number = f"lpad({s('p_partkey')}, greatest(4, length({s('p_partkey')})), '0')"
+    number = f"lpad({s('p_partkey')}, cast(greatest(4, length({s('p_partkey')})) as int), '0')"
     return f"""
 SELECT p_partkey AS line_no,
   CASE WHEN p_partkey % 3 = 0 THEN 'IC' ELSE 'NGC' END
@@ -277,8 +277,9 @@ _VIEWS = {
 
 # DuckDB only: the library computes these with its own operators.
 SEPARATION = (
-    "degrees(2 * asin(sqrt(least(1.0::double, pow(sin(radians({dec2} - {dec1}) / 2), 2)"
-    " + cos(radians({dec1})) * cos(radians({dec2})) * pow(sin(radians({ra2} - {ra1}) / 2), 2)))))"
+    "degrees(2 * asin(CASE WHEN {dec1} + {dec2} + {ra1} + {ra2} IS NOT NULL THEN sqrt(least("
+    "1.0::double, pow(sin(radians({dec2} - {dec1}) / 2), 2) + cos(radians({dec1}))"
+    " * cos(radians({dec2})) * pow(sin(radians({ra2} - {ra1}) / 2), 2))) END))"
 )
 
 

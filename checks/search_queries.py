@@ -167,8 +167,8 @@ def _object_query(name: str, q: str) -> None:
     registry.add(name, build, duck("matches") + sql)
 
 
-_object_query("e4_object_search", "m 3")
-_object_query("b16_object_search_star", "green ring")
+_object_query("e4_object_search", "m 1344")
+_object_query("b16_object_search_star", "cold ring")
 
 
 @registry.query(
@@ -391,11 +391,11 @@ def d2(spark, sf_dir):
 @registry.query(
     "e1_images_with_object",
     duck("matches") + "SELECT id, file_name FROM images WHERE id IN (SELECT image_id FROM matches"
-    " WHERE catalog_type = 'MESSIER' AND catalog_designation = 'M33')",
+    " WHERE catalog_type = 'MESSIER' AND catalog_designation = 'M1344')",
 )
 def e1(spark, sf_dir):
     return search.containing_object(
-        images(spark, sf_dir), matches(spark, sf_dir), "MESSIER", "M33"
+        images(spark, sf_dir), matches(spark, sf_dir), "MESSIER", "M1344"
     ).select("id", "file_name")
 
 

@@ -260,7 +260,7 @@ def f19(spark, sf_dir):
 
 @registry.query(
     "f20_duration_summary",
-    duck("request_log") + "SELECT level, task, count(*) AS n, round_even(avg(latency), 6) AS mean_s,"
+    duck("request_log") + "SELECT level, task, count(*) AS n, round_even(avg(latency), 9) AS mean_s,"
     " median(latency) AS median_s, min(latency) AS min_s, max(latency) AS max_s,"
     " round_even(60 / avg(latency) * level, 4) AS tasks_per_minute FROM request_log GROUP BY 1, 2",
 )
@@ -268,7 +268,7 @@ def f20(spark, sf_dir):
     log = view(spark, sf_dir, "request_log")
     return stats.duration_summary(log, ["level", "task"], "latency", "level").withColumns(
         {
-            "mean_s": F.bround("mean_s", 6),
+            "mean_s": F.bround("mean_s", 9),
             "tasks_per_minute": F.bround("tasks_per_minute", 4),
         }
     )

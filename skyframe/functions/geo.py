@@ -22,13 +22,19 @@ def as_column(value) -> Column:
     return F.lit(float(value))
 
 
+def clamp(value, low: float, high: float) -> Column:
+    """Value limited to [low, high]; NULL stays NULL, which least and greatest would pass over."""
+    value = as_column(value)
+    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
+
+
 def angular_separation(ra1, dec1, ra2, dec2) -> Column:
     """Great-circle distance by the haversine formula."""
     ra1, dec1, ra2, dec2 = (F.radians(as_column(v)) for v in (ra1, dec1, ra2, dec2))
     half_dec = F.sin((dec2 - dec1) / 2)
     half_ra = F.sin((ra2 - ra1) / 2)
     chord = half_dec * half_dec + F.cos(dec1) * F.cos(dec2) * half_ra * half_ra
-    return F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), chord))))
+    return F.degrees(2 * F.asin(F.sqrt(F.when(chord > 1.0, F.lit(1.0)).otherwise(chord))))
 
 
 def tangent_plane(ra, dec, ra0, dec0) -> tuple[Column, Column, Column]:
@@ -131,7 +137,7 @@ def pixel_to_sky_linear(x, y, w, h, ra0, dec0, scale, rot, parity=1) -> Column:
     eta = cd21 * dx + cd22 * dy
     stretch = F.when(F.abs(dec0) < 89.9, F.cos(F.radians(dec0))).otherwise(F.lit(1.0))
     ra = F.pmod(ra0 + xi / stretch, F.lit(360.0))
-    dec = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), dec0 + eta))
+    dec = clamp(dec0 + eta, -90.0, 90.0)
     known = ra0.isNotNull() & dec0.isNotNull() & as_column(scale).isNotNull() & rot.isNotNull()
     return F.when(known, F.struct(ra.alias("ra"), dec.alias("dec")))
 

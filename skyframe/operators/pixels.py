@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.functions.geo import clamp
 from skyframe.operators.order_stats import order_statistics
 from skyframe.session import materialize
 
@@ -16,8 +17,7 @@ LARGEST = 1.7976931348623157e308
 def clean_values(value) -> Column:
     """NaN becomes 0, infinities the largest finite numbers."""
     value = F.col(value) if isinstance(value, str) else value
-    finite = F.nanvl(value.cast("double"), F.lit(0.0))
-    return F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), finite))
+    return clamp(F.nanvl(value.cast("double"), F.lit(0.0)), -LARGEST, LARGEST)
 
 
 def _normalised(pixels: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +53,8 @@ def stretch_parameters(pixels: DataFrame, key: str = "image_id", value: str = "v
     known = materialize(ranges.join(medians, key, "left"))
     deviation = cleaned.join(known, key).select(key, F.abs(_unit() - F.col("_median")).alias("_d"))
     spreads = order_statistics(deviation, [key], "_d", {"_mad": "median"})
-    shadow = F.greatest(F.lit(0.0), F.col("_median") + F.lit(SHADOWS_CLIP) * F.col("_mad"))
+    clip_point = F.col("_median") + F.lit(SHADOWS_CLIP) * F.col("_mad")
+    shadow = F.when(clip_point < 0, F.lit(0.0)).otherwise(clip_point)
     after = F.try_divide(F.col("_median") - F.col("_shadow"), 1 - F.col("_shadow"))
     y = F.lit(TARGET_BACKGROUND)
     denominator = F.col("_x") + y - 2 * F.col("_x") * y
@@ -78,11 +79,11 @@ def stretch(pixels: DataFrame, key: str = "image_id", value: str = "value") -> D
     """
     parameters = stretch_parameters(pixels, key, value)
     shadow, m = F.col("_shadow"), F.col("_balance")
-    clipped = F.greatest(shadow, F.least(F.lit(1.0), _unit()))
+    clipped = F.when(_unit() < shadow, shadow).otherwise(_unit())
     rescaled = F.when(shadow < 1, (clipped - shadow) / (1 - shadow)).otherwise(clipped)
     v = F.col("_v")
     toned = F.when(m == 0.5, v).otherwise(F.try_divide((m - 1) * v, (2 * m - 1) * v - m))
-    level = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), toned)) * 255, F.lit(0.0))
+    level = F.coalesce(clamp(toned, 0.0, 1.0) * 255, F.lit(0.0))
     return (
         pixels.withColumn("_clean", clean_values(value))
         .join(parameters, key)

@@ -74,8 +74,9 @@ def read_star_csv(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, STAR_CSV).withColumn("line_no", F.monotonically_increasing_id())
 
 
-def read_messier_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MESSIER_JSON).option("multiLine", True).json(path)
+def read_messier_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Array of objects; with ``multi_line`` off, files of one array per line."""
+    return spark.read.schema(MESSIER_JSON).option("multiLine", multi_line).json(path)
 
 
 def filled(value) -> Column:

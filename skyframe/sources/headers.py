@@ -19,51 +19,86 @@ FEW_CARDS = 10
 
 # --- FITS ------------------------------------------------------------------------------------
 
+END_CARD = "END".ljust(CARD)
 
-def _end_of_header(text: Column) -> Column:
-    """The cards up to, not including, the END card; NULL when there is none."""
-    cards = F.regexp_extract(text, r"(?s)^((?:.{80})*?)END {77}", 1)
-    return F.when(cards != "", cards)
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
 
-def _card_number(cards: Column, key: str) -> Column:
-    shape = rf"(?s)^(?:.{{80}})*?{key.ljust(8)}= *(-?[0-9]+)"
-    return F.regexp_extract(cards, shape, 1).try_cast("long")
+    A plain projection may be merged into the expressions that use it and then run again for every
+    element of a lambda; a generator is never merged.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def header_texts(content) -> Column:
-    """Card texts of the first one or two headers of FITS bytes, as an array.
+def _end_block(content: str, start: Column) -> Column:
+    """Index of the block with the END card, searching from block ``start``; -1 without one.
 
-    The second header starts at the block after the first header and its data.
+    Blocks after the hit are passed over without being decoded.
     """
-    content = F.col(content) if isinstance(content, str) else content
-    text = F.decode(content, "ISO-8859-1")
-    first = _end_of_header(text)
-    axes = F.coalesce(_card_number(first, "NAXIS"), F.lit(0))
-    size = F.abs(F.coalesce(_card_number(first, "BITPIX"), F.lit(8))) / 8
-    for i in (1, 2, 3):
-        length = F.coalesce(_card_number(first, f"NAXIS{i}"), F.lit(1))
-        size = size * F.when(axes >= i, length).otherwise(F.lit(1))
-    data = F.when(axes > 0, size).otherwise(F.lit(0.0))
-    start = (F.ceil((F.length(first) + CARD) / BLOCK) + F.ceil(data / BLOCK)) * BLOCK
-    second = _end_of_header(text.substr((start + 1).cast("int"), F.length(text)))
-    return F.array_compact(F.array(first, second))
+    last = F.ceil(F.length(content) / BLOCK) - 1
+
+    def is_end(block: Column) -> Column:
+        text = F.decode(F.substring(content, block * BLOCK + 1, BLOCK), "ISO-8859-1")
+        return text.rlike(rf"(?s)^(?:.{{{CARD}}}){{0,{BLOCK // CARD - 1}}}END {{{CARD - 3}}}")
+
+    found = F.aggregate(
+        F.sequence(start, last),
+        F.lit(-1).cast("long"),
+        lambda hit, block: F.when(hit >= 0, hit).when(is_end(block), block).otherwise(hit),
+    )
+    return F.when(start <= last, found).otherwise(F.lit(-1).cast("long"))
+
+
+def _cards_between(content: str, start: Column, end: Column) -> Column:
+    """The cards of a header that fills the blocks start..end, without the END card."""
+    part = F.substring(content, start * BLOCK + 1, (end - start + 1) * BLOCK)
+    cards = F.regexp_extract_all(
+        F.decode(part, "ISO-8859-1"), F.lit(f"(?s)(.{{{CARD}}})"), F.lit(1)
+    )
+    return F.slice(cards, 1, F.greatest(F.array_position(cards, END_CARD) - 1, F.lit(0)).cast("int"))
 
 
-def main_header(texts) -> Column:
-    """The primary header, or the extension's when the primary one is nearly empty."""
-    texts = F.col(texts) if isinstance(texts, str) else texts
-    first = F.get(texts, F.lit(0))
-    nearly_empty = (F.length(first) / CARD < FEW_CARDS) & (F.size(texts) > 1)
-    return F.when(nearly_empty, F.get(texts, F.lit(1))).otherwise(first)
+def _card_number(cards: str, key: str, default: int) -> Column:
+    own = F.filter(cards, lambda c: c.startswith(key.ljust(8) + "="))
+    text = F.trim(F.substring_index(F.substring(F.get(own, F.lit(0)), 11, 70), "/", 1))
+    return F.coalesce(text.try_cast("long"), F.lit(default).cast("long"))
+
+
+def header_cards(files: DataFrame, content: str = "content") -> DataFrame:
+    """(path, cards) of FITS bytes: the primary header, or that of the first extension.
+
+    The extension counts when the primary header is nearly empty; it starts at the block after the
+    primary header and its data.
+    """
+    zero = F.lit(0).cast("long")
+    first = pinned(files.select("path", content), "_end", _end_block(content, zero))
+    first = pinned(first, "_first", _cards_between(content, zero, F.col("_end")))
+    axes = _card_number("_first", "NAXIS", 0)
+    size = F.abs(_card_number("_first", "BITPIX", 8)) / 8
+    for i in (1, 2, 3):
+        size = size * F.when(axes >= i, _card_number("_first", f"NAXIS{i}", 1)).otherwise(F.lit(1))
+    data = F.when(axes > 0, F.ceil(size / BLOCK)).otherwise(zero)
+    nearly_empty = (F.col("_end") >= 0) & (F.size("_first") < FEW_CARDS)
+    start = F.when(nearly_empty, F.col("_end") + 1 + data)
+    second = pinned(first, "_start", start)
+    second = pinned(
+        second, "_end2", F.when(nearly_empty, _end_block(content, F.col("_start"))).otherwise(-1)
+    )
+    extension = _cards_between(content, F.col("_start"), F.col("_end2"))
+    return second.select(
+        "path",
+        F.when(F.col("_end2") >= 0, extension)
+        .when(F.col("_end") >= 0, F.col("_first"))
+        .alias("cards"),
+    )
 
 
 def _card_entry(card: Column) -> Column:
     """struct<key,value> of one 80-character card."""
     long_key = card.startswith("HIERARCH")
-    plain = F.rtrim(F.substring(card, 1, 8))
     key = F.when(long_key, F.regexp_extract(card, r"^HIERARCH\s+([^=]*[^=\s])\s*=", 1)).otherwise(
-        plain
+        F.rtrim(F.substring(card, 1, 8))
     )
     field = F.when(long_key, F.regexp_extract(card, r"^[^=]*=(.*)$", 1)).otherwise(
         F.substring(card, 11, 70)
@@ -82,63 +117,52 @@ def _card_entry(card: Column) -> Column:
 
 
 def cards_to_map(cards) -> Column:
-    """Header text of 80-character cards to a keyword map.
+    """Array of 80-character cards to a keyword map.
 
     The first card of a keyword counts; COMMENT and HISTORY accumulate.
     """
     cards = F.col(cards) if isinstance(cards, str) else cards
-    count = F.floor(F.length(cards) / CARD).cast("int")
-    entries = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-            lambda i: _card_entry(cards.substr(i * CARD + 1, F.lit(CARD))),
-        ),
-        lambda e: e["key"] != "",
-    )
-    return _entries_to_map(entries)
+    return _entries_to_map(F.filter(F.transform(cards, _card_entry), lambda e: e["key"] != ""))
 
 
 def _entries_to_map(entries: Column) -> Column:
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    """struct<key,value> array to a map; built in one pass, so the entries are computed once."""
 
-    def value_of(key: Column) -> Column:
-        own = F.transform(F.filter(entries, lambda e: e["key"] == key), lambda e: e["value"])
-        return F.when(key.isin(*ACCUMULATING), F.array_join(own, "\n")).otherwise(
-            F.get(own, F.lit(0))
+    def add(header: Column, e: Column) -> Column:
+        joined = F.transform_values(
+            header,
+            lambda k, v: F.when(k == e["key"], F.concat_ws("\n", v, e["value"])).otherwise(v),
+        )
+        return (
+            F.when(
+                ~F.map_contains_key(header, e["key"]),
+                F.map_concat(header, F.create_map(e["key"], e["value"])),
+            )
+            .when(e["key"].isin(*ACCUMULATING), joined)
+            .otherwise(header)
         )
 
-    return F.map_from_arrays(keys, F.transform(keys, value_of))
+    return F.aggregate(entries, F.create_map().cast("map<string,string>"), add)
 
 
 def fits_headers(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, raw_header) of FITS files given as bytes."""
-    return files.select("path", cards_to_map(main_header(header_texts(content))).alias("raw_header"))
+    return header_cards(files, content).select("path", cards_to_map("cards").alias("raw_header"))
 
 
-def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Read only the header blocks of each file, skipping over the pixel data."""
-    for batch in batches:
-        paths, texts = [], []
-        for path in batch["path"]:
-            headers = []
-            with open(path, "rb") as file:
-                while len(headers) < 2:
-                    text, size = "", os.fstat(file.fileno()).st_size
-                    while file.tell() < size and "END".ljust(CARD) not in text[-BLOCK:]:
-                        text += file.read(BLOCK).decode("latin-1")
-                    if "END".ljust(CARD) not in text[-BLOCK:]:
-                        break
-                    headers.append(text[: text.rindex("END".ljust(CARD))])
-                    if len(headers[0]) // CARD >= FEW_CARDS:
-                        break
-                    file.seek(_data_bytes(headers[0]), os.SEEK_CUR)
-            paths.append(path)
-            texts.append(headers)
-        yield pd.DataFrame({"path": paths, "texts": texts})
-
-
-def _data_bytes(header: str) -> int:
-    cards = [header[i : i + CARD] for i in range(0, len(header), CARD)]
+def _read_header(file) -> list[str] | None:
+    """Cards up to END from the current position, leaving the file after the header's blocks."""
+    cards: list[str] = []
+    while block := file.read(BLOCK).decode("latin-1"):
+        for at in range(0, len(block), CARD):
+            if block[at : at + CARD] == END_CARD:
+                return cards
+            cards.append(block[at : at + CARD])
+    return None
+
+
+def _data_bytes(cards: list[str]) -> int:
+    """Size of the data that follows a header, in whole blocks."""
     number = {c[:8].rstrip(): c[10:].split("/")[0].strip() for c in cards if c[8:10] == "= "}
     axes = int(number.get("NAXIS", 0))
     size = abs(int(number.get("BITPIX", 8))) // 8 if axes else 0
@@ -147,26 +171,46 @@ def _data_bytes(header: str) -> int:
     return -(-size // BLOCK) * BLOCK
 
 
+def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Read only the header blocks of each file, skipping over the pixel data."""
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            with open(path, "rb") as file:
+                cards = _read_header(file)
+                if cards is not None and len(cards) < FEW_CARDS:
+                    file.seek(_data_bytes(cards), os.SEEK_CUR)
+                    cards = _read_header(file) or cards
+            found.append(cards)
+        yield pd.DataFrame({"path": batch["path"], "cards": found})
+
+
 def read_fits_headers(inventory: DataFrame) -> DataFrame:
     """(path, raw_header) of FITS files on a mounted file system.
 
     Only the header blocks are read, a few kilobytes per file however large its pixels are; the
-    decoding is the same as for :func:`fits_headers`.
+    decoding of the cards is the same as for :func:`fits_headers`.
     """
     schema = T.StructType(
-        [T.StructField("path", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType()))]
+        [T.StructField("path", T.StringType()), T.StructField("cards", T.ArrayType(T.StringType()))]
     )
-    texts = inventory.select("path").mapInPandas(_read_headers, schema)
-    return texts.select("path", cards_to_map(main_header("texts")).alias("raw_header"))
+    cards = inventory.select("path").mapInPandas(_read_headers, schema)
+    return cards.select("path", cards_to_map("cards").alias("raw_header"))
 
 
 # --- XISF ------------------------------------------------------------------------------------
 
 
+XISF_PREFIX = 16  # signature, length of the XML as little-endian 32 bits, 4 reserved bytes
+
+
 def xisf_xml(content) -> Column:
-    """The XML header inside XISF bytes."""
+    """The XML header inside XISF bytes; only its own bytes are decoded."""
     content = F.col(content) if isinstance(content, str) else content
-    return F.regexp_extract(F.decode(content, "UTF-8"), r"(?s)(<xisf.*?</xisf>)", 1)
+    size = F.hex(F.substring(content, 9, 4))
+    swapped = F.concat(*[F.substring(size, i, 2) for i in (7, 5, 3, 1)])
+    length = F.conv(swapped, 16, 10).cast("int")
+    return F.decode(F.substring(content, XISF_PREFIX + 1, length), "UTF-8")
 
 
 def xisf_header(xml) -> Column:
@@ -195,7 +239,7 @@ def xisf_size(xml) -> Column:
 
 def xisf_headers(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, width_pixels, height_pixels, raw_header) of XISF files given as bytes."""
-    xml = files.select("path", xisf_xml(content).alias("_xml"))
+    xml = pinned(files.select("path", content), "_xml", xisf_xml(content))
     return xml.select("path", xisf_size("_xml").alias("_size"), xisf_header("_xml").alias("raw_header")).select(
         "path", "_size.*", "raw_header"
     )
