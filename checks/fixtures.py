@@ -388,3 +388,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for need in inputs:
         text = text.replace(f"FROM {need}", f"FROM {{{need}}}")
     return spark.sql(text, **inputs)
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same view over a stream of the driver's file; only for views of a single table."""
+    source = _SOURCES.get(name, "orders")
+    schema = table(spark, sf_dir, source).schema
+    # A pattern, because the file source of a stream expects folders or patterns.
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/{source}.parque[t]")
+    text = _VIEWS[name][0](SPARK).replace("{", "{{").replace("}", "}}")
+    return spark.sql(text.replace(f"FROM {source}", f"FROM {{{source}}}"), **{source: stream})
