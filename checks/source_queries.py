@@ -6,7 +6,7 @@ derives from them, so the work grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.fixtures import duck, table, view
@@ -20,11 +20,10 @@ from skyframe.sources import catalogs, exports, headers, sidecars
 
 registry = Registry()
 
-K = F.col("o_orderkey")
 
-
-def _text(column) -> F.Column:
-    return column.cast("string")
+def key() -> Column:
+    """Key of an order; made on demand, because columns need a running session."""
+    return F.col("o_orderkey")
 
 
 def write_csv(df: DataFrame, name: str, sep: str = ",") -> str:
@@ -266,11 +265,11 @@ def h9(spark, sf_dir):
 # --- headers --------------------------------------------------------------------------------------
 
 
-def _card(key: str, value) -> F.Column:
+def _card(key: str, value) -> Column:
     return F.rpad(F.concat(F.rpad(F.lit(key), 8, " "), F.lit("= "), value), 80, " ")
 
 
-def _header_block(*cards) -> F.Column:
+def _header_block(*cards) -> Column:
     """Cards, END and padding to whole blocks."""
     text = F.concat(*cards, F.rpad(F.lit("END"), 80, " "))
     return F.rpad(text, (len(cards) + 36) // 36 * 2880, " ")
@@ -279,9 +278,9 @@ def _header_block(*cards) -> F.Column:
 def fits_files(spark, sf_dir) -> DataFrame:
     """FITS bytes from orders; every fourth file has its header in the first extension."""
     own = [
-        _card("EXPTIME", F.concat((K % 600).cast("string"), F.lit(".5 / seconds"))),
+        _card("EXPTIME", F.concat((key() % 600).cast("string"), F.lit(".5 / seconds"))),
         _card("OBJECT", F.lit("'O''Brien / 1'      / name")),
-        _card("GAIN", F.lpad((K % 300).cast("string"), 20, " ")),
+        _card("GAIN", F.lpad((key() % 300).cast("string"), 20, " ")),
         _card("CLEAR", F.lit("                   T")),
         F.rpad(F.lit("COMMENT first line"), 80, " "),
         F.rpad(F.lit("COMMENT second line"), 80, " "),
@@ -294,12 +293,12 @@ def fits_files(spark, sf_dir) -> DataFrame:
     plain = F.concat(_header_block(*start, *size, *own), F.rpad(F.lit("\x01"), 2880, "END"))
     short = _header_block(*start, *size)
     extension = _header_block(_card("XTENSION", F.lit("'IMAGE   '")), *start[1:2], *own, *own)
-    stored = F.when(K % 4 == 0, F.concat(short, F.rpad(F.lit(""), 2880, "x"), extension)).otherwise(
+    stored = F.when(key() % 4 == 0, F.concat(short, F.rpad(F.lit(""), 2880, "x"), extension)).otherwise(
         plain
     )
     return headers.pinned(
         table(spark, sf_dir, "orders").select(
-            "o_orderkey", F.concat(F.lit("/data/f"), K.cast("string"), F.lit(".fits")).alias("path")
+            "o_orderkey", F.concat(F.lit("/data/f"), key().cast("string"), F.lit(".fits")).alias("path")
         ),
         "content",
         F.encode(stored, "ISO-8859-1"),
@@ -329,8 +328,8 @@ def xisf_files(spark, sf_dir) -> DataFrame:
 
     xml = F.concat(
         F.lit('<xisf version="1.0" xmlns="http://www.pixinsight.com/xisf"><Image geometry="'),
-        (K % 4000).cast("string"), F.lit(':3000:1">'),
-        *keyword("OBJECT", F.lit("'M 31 '")), *keyword("GAIN", (K % 300).cast("string")),
+        (key() % 4000).cast("string"), F.lit(':3000:1">'),
+        *keyword("OBJECT", F.lit("'M 31 '")), *keyword("GAIN", (key() % 300).cast("string")),
         *keyword("HISTORY", F.lit("one")), *keyword("HISTORY", F.lit("two")),
         *keyword("FILTER", F.lit("'H&amp;a'")),
         F.lit('</Image><Image geometry="1:1:1">'), *keyword("GAIN", F.lit("5")),
@@ -344,7 +343,7 @@ def xisf_files(spark, sf_dir) -> DataFrame:
     )
     return headers.pinned(
         table(spark, sf_dir, "orders").select(
-            "o_orderkey", F.concat(F.lit("/data/x"), K.cast("string"), F.lit(".xisf")).alias("path")
+            "o_orderkey", F.concat(F.lit("/data/x"), key().cast("string"), F.lit(".xisf")).alias("path")
         ),
         "content",
         stored,
@@ -448,17 +447,17 @@ def k2(spark, sf_dir):
 
 
 def ini_files(spark, sf_dir) -> DataFrame:
-    section = F.when(K % 5 == 0, "[Other]").when(K % 2 == 0, "[Astrometry]").otherwise("[Field]")
+    section = F.when(key() % 5 == 0, "[Other]").when(key() % 2 == 0, "[Astrometry]").otherwise("[Field]")
     text = F.concat_ws(
         "\n",
-        F.when(K % 6 == 0, F.lit("[Field]\nra = 1\ndec = 1")),
+        F.when(key() % 6 == 0, F.lit("[Field]\nra = 1\ndec = 1")),
         section,
-        F.concat(F.lit("RA = "), (K % 360).cast("string"), F.lit(".25")),
-        F.concat(F.lit("dec: "), F.when(K % 7 == 0, "north").otherwise((K % 90).cast("string"))),
-        F.when(K % 3 == 0, F.lit("pixscale=1.5")),
+        F.concat(F.lit("RA = "), (key() % 360).cast("string"), F.lit(".25")),
+        F.concat(F.lit("dec: "), F.when(key() % 7 == 0, "north").otherwise((key() % 90).cast("string"))),
+        F.when(key() % 3 == 0, F.lit("pixscale=1.5")),
         F.lit("[Last]\nradius = 9"),
     )
-    return table(spark, sf_dir, "orders").select(K.alias("id"), text.alias("text"))
+    return table(spark, sf_dir, "orders").select(key().alias("id"), text.alias("text"))
 
 
 @registry.query(
@@ -575,16 +574,16 @@ def f20_log(spark, sf_dir):
 
 def exif_tags(spark, sf_dir) -> DataFrame:
     values = {
-        "EXIF ExposureTime": F.concat((K % 50).cast("string"), F.lit("/"), (K % 4).cast("string")),
-        "EXIF ISOSpeedRatings": (K % 6400).cast("string"),
-        "EXIF DateTimeOriginal": F.when(K % 3 != 0, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")),
+        "EXIF ExposureTime": F.concat((key() % 50).cast("string"), F.lit("/"), (key() % 4).cast("string")),
+        "EXIF ISOSpeedRatings": (key() % 6400).cast("string"),
+        "EXIF DateTimeOriginal": F.when(key() % 3 != 0, F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss")),
         "Image DateTime": F.lit("2020:02:03 04:05:06"),
         "Image Make": F.lit(" Canon "),
-        "Image Model": F.when(K % 2 == 0, "EOS Ra "),
+        "Image Model": F.when(key() % 2 == 0, "EOS Ra "),
         "EXIF FNumber": F.lit("28/10"),
         "EXIF FocalLengthIn35mmFilm": F.lit("50 mm"),
-        "EXIF Flash": (K % 32).cast("string"),
-        "EXIF Rating": (K % 8).cast("string"),
+        "EXIF Flash": (key() % 32).cast("string"),
+        "EXIF Rating": (key() % 8).cast("string"),
         "Thumbnail Width": F.lit("1"),
     }
     tags = F.array(
@@ -592,7 +591,7 @@ def exif_tags(spark, sf_dir) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "orders")
-        .select(K.cast("string").alias("path"), F.inline(tags))
+        .select(key().cast("string").alias("path"), F.inline(tags))
         .filter("value IS NOT NULL")
     )
 
@@ -609,9 +608,9 @@ def exif_tags(spark, sf_dir) -> DataFrame:
 )
 def k3(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    path = K.cast("string").alias("path")
-    sidecar = orders.filter(K % 5 == 0).select(path, F.lit(1).alias("rating"))
-    embedded = orders.filter(K % 7 == 0).select(path, F.lit(2).alias("rating"))
+    path = key().cast("string").alias("path")
+    sidecar = orders.filter(key() % 5 == 0).select(path, F.lit(1).alias("rating"))
+    embedded = orders.filter(key() % 7 == 0).select(path, F.lit(2).alias("rating"))
     return ingest.exif_images(exif_tags(spark, sf_dir), sidecar, embedded).select(
         "path", "exposure_time_seconds", "iso_speed", "gain", "capture_date", "camera_name",
         "aperture", "focal_length_35mm", "flash_fired", "rating",
