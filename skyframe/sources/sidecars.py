@@ -14,10 +14,11 @@ SIDECAR_EXTENSIONS = (".wcs", ".new", ".ini")
 def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, text) of whole text files."""
     return (
-        spark.read.option("wholetext", True)
+        spark.read.format("text")
+        .option("wholetext", True)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .text(root)
+        .load(root)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 

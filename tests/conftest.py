@@ -12,5 +12,7 @@ from checks.compare import local_session  # noqa: E402
 def spark():
     session = local_session("8", "tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Plans are compared as text and must not be shortened.
+    session.conf.set("spark.sql.maxMetadataStringLength", "100000")
     yield session
     session.stop()
