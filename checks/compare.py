@@ -23,6 +23,8 @@ def local_session(cores: str = "8", app: str = "skyframe") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Long generated methods are compiled too; the JVM leaves them interpreted by default.
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

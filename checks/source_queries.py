@@ -296,8 +296,9 @@ def fits_files(spark, sf_dir) -> DataFrame:
     stored = F.when(key() % 4 == 0, F.concat(short, F.rpad(F.lit(""), 2880, "x"), extension)).otherwise(
         plain
     )
+    # Files are listed over many tasks; the table that stands for them is one small file.
     return headers.pinned(
-        table(spark, sf_dir, "orders").select(
+        table(spark, sf_dir, "orders").repartition("o_orderkey").select(
             "o_orderkey", F.concat(F.lit("/data/f"), key().cast("string"), F.lit(".fits")).alias("path")
         ),
         "content",
@@ -341,8 +342,9 @@ def xisf_files(spark, sf_dir) -> DataFrame:
         F.encode(F.lit("XISF0100"), "UTF-8"), swapped, F.unhex(F.lit("00000000")),
         F.encode(xml, "UTF-8"), F.unhex(F.lit("FFFE")),
     )
+    # Files are listed over many tasks; the table that stands for them is one small file.
     return headers.pinned(
-        table(spark, sf_dir, "orders").select(
+        table(spark, sf_dir, "orders").repartition("o_orderkey").select(
             "o_orderkey", F.concat(F.lit("/data/x"), key().cast("string"), F.lit(".xisf")).alias("path")
         ),
         "content",

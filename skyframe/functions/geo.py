@@ -154,6 +154,74 @@ def usable_coordinates(ra, dec) -> Column:
     return ra.isNotNull() & dec.isNotNull() & ~F.isnan(ra) & ~F.isnan(dec)
 
 
+# --- vectors ----------------------------------------------------------------------------------
+# For joins, where one position meets many: everything that depends on one side only is computed
+# before the join, as unit vectors, so that a pair costs a few multiplications.
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.col(f"{a}.x") * F.col(f"{b}.x") + F.col(f"{a}.y") * F.col(f"{b}.y") + F.col(
+        f"{a}.z"
+    ) * F.col(f"{b}.z")
+
+
+def _vector(x: Column, y: Column, z: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def unit_vector(ra, dec) -> Column:
+    """Direction of a sky position: struct<x,y,z>."""
+    ra, dec = F.radians(as_column(ra)), F.radians(as_column(dec))
+    return _vector(F.cos(dec) * F.cos(ra), F.cos(dec) * F.sin(ra), F.sin(dec))
+
+
+def chord_limit(radius) -> Column:
+    """Squared chord of an angle; two unit vectors at most this far apart lie within the angle."""
+    half = F.sin(F.radians(clamp(as_column(radius), 0.0, 180.0)) / 2)
+    return 4 * half * half
+
+
+def squared_chord(a: str, b: str) -> Column:
+    """Squared distance of two unit-vector columns."""
+    x, y, z = (F.col(f"{a}.{i}") - F.col(f"{b}.{i}") for i in "xyz")
+    return x * x + y * y + z * z
+
+
+def chord_angle(chord2) -> Column:
+    """Angle in degrees of a squared chord."""
+    chord2 = as_column(chord2)
+    return F.degrees(2 * F.asin(F.sqrt(F.when(chord2 > 4, F.lit(4.0)).otherwise(chord2)) / 2))
+
+
+def frame_vectors(ra0, dec0, crpix1, crpix2, cd11, cd12, cd21, cd22) -> Column:
+    """What a frame contributes to the pixel of any object: struct<axis,px,py,x0,y0>.
+
+    ``axis`` points to the reference position; the pixel of direction s is
+    (px . s / axis . s + x0, py . s / axis . s + y0).
+    """
+    ra, dec = F.radians(as_column(ra0)), F.radians(as_column(dec0))
+    cd11, cd12, cd21, cd22 = (as_column(v) for v in (cd11, cd12, cd21, cd22))
+    area = cd11 * cd22 - cd12 * cd21
+    per_degree = F.degrees(F.lit(1.0)) / F.when(area != 0, area)
+    east = (-F.sin(ra), F.cos(ra), F.lit(0.0))
+    north = (-F.sin(dec) * F.cos(ra), -F.sin(dec) * F.sin(ra), F.cos(dec))
+    px = [(cd22 * e - cd12 * n) * per_degree for e, n in zip(east, north, strict=True)]
+    py = [(cd11 * n - cd21 * e) * per_degree for e, n in zip(east, north, strict=True)]
+    return F.struct(
+        unit_vector(ra0, dec0).alias("axis"), _vector(*px).alias("px"), _vector(*py).alias("py"),
+        (as_column(crpix1) - 1).alias("x0"), (as_column(crpix2) - 1).alias("y0"),
+    )
+
+
+def frame_pixel(frame: str, vector: str) -> Column:
+    """Pixel of a direction column in a frame column: struct<x,y>, NULL on the far side."""
+    depth = _dot(f"{frame}.axis", vector)
+    visible = F.when(depth > 0, depth)
+    x = _dot(f"{frame}.px", vector) / visible + F.col(f"{frame}.x0")
+    y = _dot(f"{frame}.py", vector) / visible + F.col(f"{frame}.y0")
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
 # --- sky cells -------------------------------------------------------------------------------
 # The sphere is cut into declination zones and each zone into right-ascension cells of about the
 # same width, at several resolutions ("levels"): zones of level L are BASE_HEIGHT * 2**L high.

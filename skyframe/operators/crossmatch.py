@@ -28,6 +28,7 @@ def image_cells(images: DataFrame, ra: str, dec: str, radius: str) -> DataFrame:
     in_zones = (
         images.withColumn("_level", geo.level_for_radius(radius))
         .withColumn("_height", geo.zone_height("_level"))
+        .withColumn("_half", geo.ra_half_width(dec, reach) + geo.ANGLE_TOLERANCE)
         .withColumn(
             "_zone",
             F.explode(
@@ -38,7 +39,6 @@ def image_cells(images: DataFrame, ra: str, dec: str, radius: str) -> DataFrame:
             ),
         )
         .withColumn("_cells", geo.cells_in_zone("_zone", "_height"))
-        .withColumn("_half", geo.ra_half_width(dec, reach) + geo.ANGLE_TOLERANCE)
     )
     first = F.floor((F.col(ra) - F.col("_half")) / 360.0 * F.col("_cells"))
     last = F.floor((F.col(ra) + F.col("_half")) / 360.0 * F.col("_cells"))
@@ -113,23 +113,33 @@ def circle_join(
     image_key: tuple[str, ...] = ("id",),
     object_key: tuple[str, ...] = ("catalog_type", "designation"),
     rows_per_task: int = ROWS_PER_CELL_TASK,
+    keep_vectors: bool = False,
 ) -> DataFrame:
     """Every (image, object) pair whose separation is within the image's radius.
 
     Adds ``separation``. Both sides are put into sky cells and joined on the cell with the exact
-    distance as residual condition, so no pair outside neighbouring cells is formed.
+    distance as residual condition, so no pair outside neighbouring cells is formed. With
+    ``keep_vectors`` the objects keep their direction as ``_object``.
 
-    strategy: ``broadcast`` copies the catalogue to every executor (no shuffle of the images),
-    ``shuffle`` joins on the cell with crowded cells split, ``auto`` broadcasts when the catalogue
-    is counted to be small and shuffles otherwise.
+    strategy: ``broadcast`` copies the catalogue to every executor and spreads the images by their
+    key, so that what follows per image needs no shuffle of the more numerous pairs; ``shuffle``
+    joins on the cell with crowded cells split; ``auto`` broadcasts when the catalogue is counted to
+    be small and shuffles otherwise.
     """
     if strategy == "auto":
         strategy = "broadcast" if fits_broadcast(catalog) else "shuffle"
     ra0, dec0 = "ra_center_degrees", "dec_center_degrees"
-    images = images.filter(geo.usable_coordinates(ra0, dec0)).withColumn(
-        "_radius", search_radius(radius_col)
-    )
+    images = images.filter(geo.usable_coordinates(ra0, dec0))
     catalog = catalog.filter(geo.usable_coordinates("ra_degrees", "dec_degrees"))
+    if strategy == "broadcast":
+        images = images.repartition(*image_key)
+    images = images.withColumn("_radius", search_radius(radius_col)).withColumns(
+        {
+            "_limit": geo.chord_limit(F.col("_radius") + geo.ANGLE_TOLERANCE),
+            "_center": geo.unit_vector(ra0, dec0),
+        }
+    )
+    catalog = catalog.withColumn("_object", geo.unit_vector("ra_degrees", "dec_degrees"))
     left = image_cells(images, ra0, dec0, "_radius")
     right = catalog_cells(catalog, "ra_degrees", "dec_degrees")
     if strategy == "broadcast":
@@ -141,14 +151,12 @@ def circle_join(
         keys = ["cell_id", "_a", "_b"]
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    reach = F.col("_radius") + geo.ANGLE_TOLERANCE
-    pairs = left.join(right, keys).filter(F.abs(F.col("dec_degrees") - F.col(dec0)) <= reach)
+    chord2 = geo.squared_chord("_center", "_object")
     return (
-        pairs.withColumn(
-            "separation", geo.angular_separation(ra0, dec0, "ra_degrees", "dec_degrees")
-        )
-        .filter(F.col("separation") <= reach)
-        .drop("_radius", *keys)
+        left.join(right, keys)
+        .filter(chord2 <= F.col("_limit"))
+        .withColumn("separation", geo.chord_angle(chord2))
+        .drop("_radius", "_limit", "_center", *(() if keep_vectors else ("_object",)), *keys)
     )
 
 
@@ -162,7 +170,7 @@ def nearest_per_type(
     """
     own_group = F.when(F.col("catalog_type").isin(*uncapped), F.col("designation"))
     nearest = Window.partitionBy(image_key, "catalog_type", own_group).orderBy(
-        F.round("separation", 9), "designation"
+        F.floor(F.col("separation") / geo.ANGLE_TOLERANCE + 0.5), "designation"
     )
     return pairs.withColumn("_rank", F.row_number().over(nearest)).filter(
         F.col("_rank") <= cap
@@ -210,21 +218,29 @@ def field_match(
         solved = solved.filter(
             (F.col("ra_center_degrees") != 0) & (F.col("dec_center_degrees") != 0)
         )
-    objects = catalog.select("catalog_type", "designation", "ra_degrees", "dec_degrees")
-    pairs = nearest_per_type(circle_join(solved, objects, strategy=strategy), cap)
-    pixel = geo.sky_to_pixel(
-        "ra_degrees", "dec_degrees", "ra_center_degrees", "dec_center_degrees",
-        "pixel_scale_arcsec", "rotation_degrees", "parity", "width_pixels", "height_pixels",
+    frame = geo.frame_vectors(
+        "ra_center_degrees", "dec_center_degrees", F.col("width_pixels") / 2,
+        F.col("height_pixels") / 2,
+        *geo.cd_matrix("pixel_scale_arcsec", "rotation_degrees", "parity"),
     )
-    no_frame = (
-        F.col("pixel_scale_arcsec").isNull()
-        | F.col("width_pixels").isNull()
-        | F.col("height_pixels").isNull()
+    known = (
+        F.col("pixel_scale_arcsec").isNotNull()
+        & F.col("width_pixels").isNotNull()
+        & F.col("height_pixels").isNotNull()
+    )
+    framed = solved.select(
+        "id", "ra_center_degrees", "dec_center_degrees", "field_radius_degrees", "width_pixels",
+        "height_pixels", F.when(known, frame).alias("_frame"),
+    )
+    objects = catalog.select("catalog_type", "designation", "ra_degrees", "dec_degrees")
+    pairs = nearest_per_type(
+        circle_join(framed, objects, strategy=strategy, keep_vectors=True), cap
     )
-    inside = F.col("_px.ok") & in_frame("_px.x", "_px.y", "width_pixels", "height_pixels", margin_px)
+    pixel = F.when(F.col("_frame").isNotNull(), geo.frame_pixel("_frame", "_object"))
+    inside = in_frame("_px.x", "_px.y", "width_pixels", "height_pixels", margin_px)
     return (
         pairs.withColumn("_px", pixel)
-        .filter(no_frame | F.coalesce(inside, F.lit(False)))
+        .filter(F.col("_frame").isNull() | F.coalesce(inside, F.lit(False)))
         .select(
             F.col("id").alias("image_id"),
             "catalog_type",
@@ -262,7 +278,8 @@ def cone_search(
     found = near_point(images, ra, dec, radius)
     if limit is None:
         return found
-    return found.orderBy(F.round("separation", 9), "id").limit(limit)
+    nearest = F.floor(F.col("separation") / geo.ANGLE_TOLERANCE + 0.5)
+    return found.orderBy(nearest, "id").limit(limit)
 
 
 def sky_density(images: DataFrame, size: float = 5.0) -> DataFrame:

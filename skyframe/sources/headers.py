@@ -80,17 +80,16 @@ def header_cards(files: DataFrame, content: str = "content") -> DataFrame:
         size = size * F.when(axes >= i, _card_number("_first", f"NAXIS{i}", 1)).otherwise(F.lit(1))
     data = F.when(axes > 0, F.ceil(size / BLOCK)).otherwise(zero)
     nearly_empty = (F.col("_end") >= 0) & (F.size("_first") < FEW_CARDS)
-    start = F.when(nearly_empty, F.col("_end") + 1 + data)
-    second = pinned(first, "_start", start)
-    second = pinned(
-        second, "_end2", F.when(nearly_empty, _end_block(content, F.col("_start"))).otherwise(-1)
-    )
-    extension = _cards_between(content, F.col("_start"), F.col("_end2"))
+    # From here on the bytes are carried only where an extension has to be read.
+    behind = F.substring(content, (F.col("_end") + 1 + data) * BLOCK + 1, F.length(content))
+    rest = first.select(
+        "path", F.when(F.col("_end") >= 0, F.col("_first")).alias("_first"),
+        F.when(nearly_empty, behind).alias("_rest"),
+    )
+    second = pinned(rest, "_end", F.when(F.col("_rest").isNotNull(), _end_block("_rest", zero)))
+    extension = _cards_between("_rest", zero, F.col("_end"))
     return second.select(
-        "path",
-        F.when(F.col("_end2") >= 0, extension)
-        .when(F.col("_end") >= 0, F.col("_first"))
-        .alias("cards"),
+        "path", F.when(F.col("_end") >= 0, extension).otherwise(F.col("_first")).alias("cards")
     )
 
 
@@ -116,38 +115,52 @@ def _card_entry(card: Column) -> Column:
     )
 
 
-def cards_to_map(cards) -> Column:
-    """Array of 80-character cards to a keyword map.
+def with_header_map(df: DataFrame, entries: Column, name: str = "raw_header") -> DataFrame:
+    """Add the map of an array of struct<key,value>.
 
-    The first card of a keyword counts; COMMENT and HISTORY accumulate.
+    The first entry of a keyword counts; COMMENT and HISTORY accumulate. Headers without repeated
+    keywords, nearly all, take the short way.
     """
-    cards = F.col(cards) if isinstance(cards, str) else cards
-    return _entries_to_map(F.filter(F.transform(cards, _card_entry), lambda e: e["key"] != ""))
-
-
-def _entries_to_map(entries: Column) -> Column:
-    """struct<key,value> array to a map; built in one pass, so the entries are computed once."""
+    named = pinned(df, "_entries", F.filter(entries, lambda e: e["key"] != ""))
+    single = F.filter("_entries", lambda e: ~e["key"].isin(*ACCUMULATING))
+    named = pinned(named, "_single", single)
+    keys = F.transform("_single", lambda e: e["key"])
 
     def add(header: Column, e: Column) -> Column:
-        joined = F.transform_values(
-            header,
-            lambda k, v: F.when(k == e["key"], F.concat_ws("\n", v, e["value"])).otherwise(v),
-        )
-        return (
-            F.when(
-                ~F.map_contains_key(header, e["key"]),
-                F.map_concat(header, F.create_map(e["key"], e["value"])),
-            )
-            .when(e["key"].isin(*ACCUMULATING), joined)
-            .otherwise(header)
+        return F.when(F.map_contains_key(header, e["key"]), header).otherwise(
+            F.map_concat(header, F.create_map(e["key"], e["value"]))
         )
 
-    return F.aggregate(entries, F.create_map().cast("map<string,string>"), add)
+    empty = F.create_map().cast("map<string,string>")
+    header = F.when(
+        F.size(F.array_distinct(keys)) == F.size("_single"), F.map_from_entries("_single")
+    ).otherwise(F.aggregate("_single", empty, add))
+
+    def texts(keyword: str) -> Column:
+        own = F.filter("_entries", lambda e: e["key"] == keyword)
+        return F.array_join(F.transform(own, lambda e: e["value"]), "\n")
+
+    joined = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("key"), texts(k).alias("value")) for k in ACCUMULATING]),
+        lambda e: F.exists("_entries", lambda own: own["key"] == e["key"]),
+    )
+    return named.withColumn(name, F.map_concat(header, F.map_from_entries(joined))).drop(
+        "_entries", "_single"
+    )
+
+
+def with_card_map(df: DataFrame, cards: str = "cards") -> DataFrame:
+    """Replace an array of 80-character cards by the map of its keywords, ``raw_header``."""
+    known = F.coalesce(cards, F.array().cast("array<string>"))
+    mapped = with_header_map(df, F.transform(known, _card_entry))
+    return mapped.withColumn(
+        "raw_header", F.when(F.col(cards).isNotNull(), F.col("raw_header"))
+    ).drop(cards)
 
 
 def fits_headers(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, raw_header) of FITS files given as bytes."""
-    return header_cards(files, content).select("path", cards_to_map("cards").alias("raw_header"))
+    return with_card_map(header_cards(files, content))
 
 
 def _read_header(file) -> list[str] | None:
@@ -195,7 +208,7 @@ def read_fits_headers(inventory: DataFrame) -> DataFrame:
         [T.StructField("path", T.StringType()), T.StructField("cards", T.ArrayType(T.StringType()))]
     )
     cards = inventory.select("path").mapInPandas(_read_headers, schema)
-    return cards.select("path", cards_to_map("cards").alias("raw_header"))
+    return with_card_map(cards)
 
 
 # --- XISF ------------------------------------------------------------------------------------
@@ -213,18 +226,15 @@ def xisf_xml(content) -> Column:
     return F.decode(F.substring(content, XISF_PREFIX + 1, length), "UTF-8")
 
 
-def xisf_header(xml) -> Column:
-    """Keywords of the first image as a map, values without their quotes."""
+def xisf_entries(xml) -> Column:
+    """Keywords of the first image as struct<key,value> array, values without their quotes."""
     xml = F.col(xml) if isinstance(xml, str) else xml
     keyword = "/xisf/Image[1]/FITSKeyword"
-    names = F.xpath(xml, F.lit(f"{keyword}/@name"))
-    values = F.xpath(xml, F.lit(f"{keyword}/@value"))
-    entries = F.zip_with(
-        names,
-        values,
+    return F.zip_with(
+        F.xpath(xml, F.lit(f"{keyword}/@name")),
+        F.xpath(xml, F.lit(f"{keyword}/@value")),
         lambda n, v: F.struct(n.alias("key"), F.trim(F.trim(v, F.lit("'"))).alias("value")),
     )
-    return _entries_to_map(F.filter(entries, lambda e: e["key"] != ""))
 
 
 def xisf_size(xml) -> Column:
@@ -239,10 +249,9 @@ def xisf_size(xml) -> Column:
 
 def xisf_headers(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, width_pixels, height_pixels, raw_header) of XISF files given as bytes."""
-    xml = pinned(files.select("path", content), "_xml", xisf_xml(content))
-    return xml.select("path", xisf_size("_xml").alias("_size"), xisf_header("_xml").alias("raw_header")).select(
-        "path", "_size.*", "raw_header"
-    )
+    xml = pinned(files.select("path", content), "_xml", xisf_xml(content)).drop(content)
+    sized = xml.withColumn("_size", xisf_size("_xml"))
+    return with_header_map(sized, xisf_entries("_xml")).select("path", "_size.*", "raw_header")
 
 
 def read_binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
