@@ -298,7 +298,7 @@ def fits_files(spark, sf_dir) -> DataFrame:
     )
     # Files are listed over many tasks; the table that stands for them is one small file.
     return headers.pinned(
-        table(spark, sf_dir, "orders").repartition("o_orderkey").select(
+        table(spark, sf_dir, "orders").repartition(16, "o_orderkey").select(
             "o_orderkey", F.concat(F.lit("/data/f"), key().cast("string"), F.lit(".fits")).alias("path")
         ),
         "content",
@@ -344,7 +344,7 @@ def xisf_files(spark, sf_dir) -> DataFrame:
     )
     # Files are listed over many tasks; the table that stands for them is one small file.
     return headers.pinned(
-        table(spark, sf_dir, "orders").repartition("o_orderkey").select(
+        table(spark, sf_dir, "orders").repartition(16, "o_orderkey").select(
             "o_orderkey", F.concat(F.lit("/data/x"), key().cast("string"), F.lit(".xisf")).alias("path")
         ),
         "content",

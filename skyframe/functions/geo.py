@@ -5,7 +5,7 @@ Angles are degrees. Pixel positions are 0-based with the origin at the top left
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two separations closer than this (degrees) are the same; used where a result must not depend
@@ -193,24 +193,35 @@ def chord_angle(chord2) -> Column:
     return F.degrees(2 * F.asin(F.sqrt(F.when(chord2 > 4, F.lit(4.0)).otherwise(chord2)) / 2))
 
 
-def frame_vectors(ra0, dec0, crpix1, crpix2, cd11, cd12, cd21, cd22) -> Column:
-    """What a frame contributes to the pixel of any object: struct<axis,px,py,x0,y0>.
+def with_frame(df: DataFrame, name: str, ra0, dec0, crpix1, crpix2, cd) -> DataFrame:
+    """Add what a frame contributes to the pixel of any object: struct<axis,px,py,x0,y0>.
 
     ``axis`` points to the reference position; the pixel of direction s is
-    (px . s / axis . s + x0, py . s / axis . s + y0).
+    (px . s / axis . s + x0, py . s / axis . s + y0). Computed in steps of plain projections, so
+    that each angle function runs once and the generated code stays short.
     """
     ra, dec = F.radians(as_column(ra0)), F.radians(as_column(dec0))
-    cd11, cd12, cd21, cd22 = (as_column(v) for v in (cd11, cd12, cd21, cd22))
-    area = cd11 * cd22 - cd12 * cd21
-    per_degree = F.degrees(F.lit(1.0)) / F.when(area != 0, area)
-    east = (-F.sin(ra), F.cos(ra), F.lit(0.0))
-    north = (-F.sin(dec) * F.cos(ra), -F.sin(dec) * F.sin(ra), F.cos(dec))
-    px = [(cd22 * e - cd12 * n) * per_degree for e, n in zip(east, north, strict=True)]
-    py = [(cd11 * n - cd21 * e) * per_degree for e, n in zip(east, north, strict=True)]
-    return F.struct(
-        unit_vector(ra0, dec0).alias("axis"), _vector(*px).alias("px"), _vector(*py).alias("py"),
+    steps = df.withColumns(
+        {"_sin_a": F.sin(ra), "_cos_a": F.cos(ra), "_sin_d": F.sin(dec), "_cos_d": F.cos(dec)}
+        | {f"_m{i}": as_column(c) for i, c in zip(("11", "12", "21", "22"), cd, strict=True)}
+    )
+    sin_a, cos_a, sin_d, cos_d, m11, m12, m21, m22 = (
+        F.col(c) for c in ("_sin_a", "_cos_a", "_sin_d", "_cos_d", "_m11", "_m12", "_m21", "_m22")
+    )
+    area = m11 * m22 - m12 * m21
+    steps = steps.withColumn("_k", F.degrees(F.lit(1.0)) / F.nullif(area, F.lit(0.0)))
+    east = (-sin_a, cos_a, F.lit(0.0))
+    north = (-sin_d * cos_a, -sin_d * sin_a, cos_d)
+    px = [(m22 * e - m12 * n) * F.col("_k") for e, n in zip(east, north, strict=True)]
+    py = [(m11 * n - m21 * e) * F.col("_k") for e, n in zip(east, north, strict=True)]
+    frame = F.struct(
+        _vector(cos_d * cos_a, cos_d * sin_a, sin_d).alias("axis"),
+        _vector(*px).alias("px"), _vector(*py).alias("py"),
         (as_column(crpix1) - 1).alias("x0"), (as_column(crpix2) - 1).alias("y0"),
     )
+    return steps.withColumn(name, frame).drop(
+        "_sin_a", "_cos_a", "_sin_d", "_cos_d", "_m11", "_m12", "_m21", "_m22", "_k"
+    )
 
 
 def frame_pixel(frame: str, vector: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,13 +115,15 @@ def circle_join(
     image_key: tuple[str, ...] = ("id",),
     object_key: tuple[str, ...] = ("catalog_type", "designation"),
     rows_per_task: int = ROWS_PER_CELL_TASK,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
     keep_vectors: bool = False,
 ) -> DataFrame:
     """Every (image, object) pair whose separation is within the image's radius.
 
     Adds ``separation``. Both sides are put into sky cells and joined on the cell with the exact
     distance as residual condition, so no pair outside neighbouring cells is formed. With
-    ``keep_vectors`` the objects keep their direction as ``_object``.
+    ``keep_vectors`` the objects keep their direction as ``_object``; ``prepare`` may add columns
+    to the images before they meet the objects.
 
     strategy: ``broadcast`` copies the catalogue to every executor and spreads the images by their
     key, so that what follows per image needs no shuffle of the more numerous pairs; ``shuffle``
@@ -133,6 +137,8 @@ def circle_join(
     catalog = catalog.filter(geo.usable_coordinates("ra_degrees", "dec_degrees"))
     if strategy == "broadcast":
         images = images.repartition(*image_key)
+    if prepare is not None:
+        images = prepare(images)
     images = images.withColumn("_radius", search_radius(radius_col)).withColumns(
         {
             "_limit": geo.chord_limit(F.col("_radius") + geo.ANGLE_TOLERANCE),
@@ -218,37 +224,35 @@ def field_match(
         solved = solved.filter(
             (F.col("ra_center_degrees") != 0) & (F.col("dec_center_degrees") != 0)
         )
-    frame = geo.frame_vectors(
-        "ra_center_degrees", "dec_center_degrees", F.col("width_pixels") / 2,
-        F.col("height_pixels") / 2,
-        *geo.cd_matrix("pixel_scale_arcsec", "rotation_degrees", "parity"),
-    )
     known = (
         F.col("pixel_scale_arcsec").isNotNull()
         & F.col("width_pixels").isNotNull()
         & F.col("height_pixels").isNotNull()
     )
-    framed = solved.select(
-        "id", "ra_center_degrees", "dec_center_degrees", "field_radius_degrees", "width_pixels",
-        "height_pixels", F.when(known, frame).alias("_frame"),
-    )
+
+    def framed(images: DataFrame) -> DataFrame:
+        return geo.with_frame(
+            images.withColumn("_framed", known), "_frame", "ra_center_degrees",
+            "dec_center_degrees", F.col("width_pixels") / 2, F.col("height_pixels") / 2,
+            geo.cd_matrix("pixel_scale_arcsec", "rotation_degrees", "parity"),
+        ).drop("pixel_scale_arcsec", "rotation_degrees", "parity")
+
     objects = catalog.select("catalog_type", "designation", "ra_degrees", "dec_degrees")
     pairs = nearest_per_type(
-        circle_join(framed, objects, strategy=strategy, keep_vectors=True), cap
+        circle_join(solved, objects, strategy=strategy, prepare=framed, keep_vectors=True), cap
     )
-    pixel = F.when(F.col("_frame").isNotNull(), geo.frame_pixel("_frame", "_object"))
     inside = in_frame("_px.x", "_px.y", "width_pixels", "height_pixels", margin_px)
     return (
-        pairs.withColumn("_px", pixel)
-        .filter(F.col("_frame").isNull() | F.coalesce(inside, F.lit(False)))
+        pairs.withColumn("_px", geo.frame_pixel("_frame", "_object"))
+        .filter(~F.col("_framed") | F.coalesce(inside, F.lit(False)))
         .select(
             F.col("id").alias("image_id"),
             "catalog_type",
             F.col("designation").alias("catalog_designation"),
             "separation",
             (1 - F.col("separation") / 5.0).alias("confidence"),
-            F.col("_px.x").alias("x"),
-            F.col("_px.y").alias("y"),
+            F.when(F.col("_framed"), F.col("_px.x")).alias("x"),
+            F.when(F.col("_framed"), F.col("_px.y")).alias("y"),
             F.lit(True).alias("is_in_field"),
             F.lit("AUTOMATIC").alias("source"),
         )

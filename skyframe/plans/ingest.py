@@ -82,6 +82,17 @@ def canonical_header(df: DataFrame, map_col: str, strict_reference: bool = False
     return df.withColumns(header_columns(map_col, strict_reference))
 
 
+# Keywords that say where a frame points.
+WCS_NUMBERS = (
+    "NAXIS1", "NAXIS2", "CRVAL1", "CRVAL2", "CRPIX1", "CRPIX2", "CD1_1", "CD1_2", "CD2_1", "CD2_2",
+    "CDELT1", "CDELT2", "CROTA2", "FOCALLEN",
+)
+WCS_KEYWORDS = WCS_NUMBERS + (
+    "CTYPE1", "CTYPE2", "RA", "DEC", "OBJCTRA", "OBJCTDEC", "PIXSCALE", "SCALE", "RESOLUTN",
+    "XPIXSZ", "PIXSIZE1", "ROTATION", "POSANGLE", "ANGLE", "POSANG", "ROTATANG", "ROTATOR",
+)
+
+
 def header_wcs(df: DataFrame, map_col: str, strict_reference: bool = False) -> DataFrame:
     """Add ``wcs``: struct<ra_center,dec_center,radius_degrees,pixel_scale,rotation,wcs_type>.
 
@@ -89,14 +100,23 @@ def header_wcs(df: DataFrame, map_col: str, strict_reference: bool = False) -> D
     then direct coordinates, then scale, rotation and radius from other keywords.
     """
 
+    # Keywords are looked up once, numbers parsed once; later steps only refer to them.
+    looked_up = F.struct(*[header_value(map_col, k).alias(k) for k in WCS_KEYWORDS])
+    df = df.withColumn("_h", looked_up).withColumn(
+        "_n", F.struct(*[to_float(F.col(f"_h.{k}")).alias(k) for k in WCS_NUMBERS])
+    )
+
     def number(key: str) -> Column:
-        return to_float(header_value(map_col, key))
+        return F.col(f"_n.{key}")
+
+    def raw(key: str) -> Column:
+        return F.col(f"_h.{key}")
 
     def has(key: str) -> Column:
-        return F.coalesce(F.map_contains_key(F.col(map_col), key), F.lit(False))
+        return raw(key).isNotNull()
 
     def first(*keys: str) -> Column:
-        return _first(map_col, keys, strict_reference)
+        return F.coalesce(*[_truthy(raw(k)) if strict_reference else raw(k) for k in keys])
 
     width, height = number("NAXIS1"), number("NAXIS2")
     cd11, cd12 = number("CD1_1"), F.coalesce(number("CD1_2"), F.lit(0.0))
@@ -112,7 +132,7 @@ def header_wcs(df: DataFrame, map_col: str, strict_reference: bool = False) -> D
         {
             "_scale": card_scale,
             "_trusted": F.coalesce(trusted, F.lit(False)),
-            "_cd": F.array(*header_matrix(map_col)),
+            "_cd": F.array(*header_matrix(number)),
         }
     )
 
@@ -124,7 +144,7 @@ def header_wcs(df: DataFrame, map_col: str, strict_reference: bool = False) -> D
         )
 
     # A trusted header whose axes are not a tangent plane gives no centre at all here.
-    usable = F.col("_trusted") & is_tangent(map_col)
+    usable = F.col("_trusted") & is_tangent(raw)
     steps = steps.withColumns(
         {
             "_center": F.when(usable, world(width / 2, height / 2)),
@@ -137,16 +157,17 @@ def header_wcs(df: DataFrame, map_col: str, strict_reference: bool = False) -> D
         .when(has("CROTA2"), number("CROTA2"))
         .otherwise(F.lit(0.0))
     )
-    keyword_ra = F.when(header_value(map_col, "RA").isNotNull(), coordinate(header_value(map_col, "RA"), True))
-    keyword_dec = F.when(header_value(map_col, "DEC").isNotNull(), coordinate(header_value(map_col, "DEC")))
-    other_ra = F.coalesce(
-        keyword_ra,
-        F.when(header_value(map_col, "RA").isNull(), sexagesimal(header_value(map_col, "OBJCTRA"), True)),
-    )
-    other_dec = F.coalesce(
-        keyword_dec,
-        F.when(header_value(map_col, "DEC").isNull(), sexagesimal(header_value(map_col, "OBJCTDEC"))),
+    steps = steps.withColumns(
+        {
+            "_other_ra": F.when(has("RA"), coordinate(raw("RA"), True)).otherwise(
+                sexagesimal(raw("OBJCTRA"), True)
+            ),
+            "_other_dec": F.when(has("DEC"), coordinate(raw("DEC"))).otherwise(
+                sexagesimal(raw("OBJCTDEC"))
+            ),
+        }
     )
+    other_ra, other_dec = F.col("_other_ra"), F.col("_other_dec")
     solved = F.col("_center").isNotNull()
     direct_ra = F.when(direct, number("CRVAL1"))
     steps = steps.withColumns(
@@ -167,7 +188,7 @@ def header_wcs(df: DataFrame, map_col: str, strict_reference: bool = False) -> D
         }
     )
     named_scale = first("PIXSCALE", "SCALE", "RESOLUTN")
-    focal, pixel = to_float(header_value(map_col, "FOCALLEN")), to_float(first("XPIXSZ", "PIXSIZE1"))
+    focal, pixel = number("FOCALLEN"), to_float(first("XPIXSZ", "PIXSIZE1"))
     optics = F.when((focal != 0) & (pixel != 0), pixel / focal * 206.265)
     scale = F.when(solved, F.col("_scale")).otherwise(
         F.when(named_scale.isNotNull(), to_float(named_scale)).otherwise(optics)
@@ -202,8 +223,9 @@ def header_wcs(df: DataFrame, map_col: str, strict_reference: bool = False) -> D
         ),
     )
     return steps.withColumn("wcs", wcs).drop(
-        "_scale", "_trusted", "_cd", "_center", "_corner", "_ra", "_dec", "_type", "_rot", "_radius"
-    )
+        "_h", "_n", "_scale", "_trusted", "_cd", "_center", "_corner", "_other_ra", "_other_dec",
+        "_ra", "_dec", "_type", "_rot", "_radius",
+    )
 
 
 def solution_columns(wcs: Column, sidecar: Column | None = None) -> dict[str, Column]:
