@@ -218,18 +218,21 @@ def e5(spark, sf_dir):
     return placed.select(*match_tables.MATCH_KEY, "ra_degrees", "dec_degrees")
 
 
+def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_tables.overlay_positions(
+        blankless(matches(spark, sf_dir)),
+        view(spark, sf_dir, "images"),
+        view(spark, sf_dir, "catalog"),
+    )
+
+
 @registry.query(
     "d9_overlay_positions",
     duck("matches") + f", {_BLANKLESS} SELECT image_id, catalog_type, catalog_designation,"
     " ra_degrees, dec_degrees, round_even(x, 3) AS pixel_x, round_even(y, 3) AS pixel_y FROM placed",
 )
 def d9(spark, sf_dir):
-    overlay = match_tables.overlay_positions(
-        blankless(matches(spark, sf_dir)),
-        view(spark, sf_dir, "images"),
-        view(spark, sf_dir, "catalog"),
-    )
-    return overlay.withColumns(
+    return overlays(spark, sf_dir).withColumns(
         {"pixel_x": F.bround("pixel_x", 3), "pixel_y": F.bround("pixel_y", 3)}
     )
 

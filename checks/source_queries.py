@@ -565,7 +565,7 @@ def a12(spark, sf_dir):
 )
 def f20_log(spark, sf_dir):
     events = sidecars.log_events(log_lines(spark, sf_dir))
-    block = F.floor(F.col("offset") / 1000)
+    block = F.floor(F.col("offset") / 5000)
     carried = stats.carry_forward(events, ["file"], "offset", block, {"concurrency": "workers"})
     tasks = carried.filter("task IS NOT NULL AND workers IS NOT NULL")
     return stats.duration_summary(tasks, ["workers", "task"], "seconds", "workers").select(

@@ -361,7 +361,7 @@ def h8(spark, sf_dir):
     log = view(spark, sf_dir, "request_log").select(
         "event_id", "level", F.when(F.col("task") == "signup", F.col("latency")).alias("signup")
     )
-    block = F.floor(F.col("event_id") / 1000)
+    block = F.floor(F.col("event_id") / 5000)
     return stats.carry_forward(log, ["level"], "event_id", block, {"signup": "last_signup"}).select(
         "event_id", "last_signup"
     )
