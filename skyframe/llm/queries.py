@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.registry import Registry
-from skyframe.llm import exact_dedup, sharding, simhash, url_filter
+from skyframe.llm import exact_dedup, quality, sharding, simhash, url_filter
 
 registry = Registry()
 
@@ -57,3 +57,9 @@ def op5(spark, sf_dir):
 @registry.query("op6_sharding")
 def op6(spark, sf_dir):
     return sharding.interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@registry.query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return quality.score_documents(documents, labels)
