@@ -98,16 +98,6 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1)
 
 
-def _latent(weights: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
-    """The leading right singular vectors, by randomised subspace iteration."""
-    rng = np.random.default_rng(seed)
-    basis = rng.standard_normal((weights.shape[1], dimensions + 16)).astype(np.float32)
-    for _ in range(5):
-        basis, _ = np.linalg.qr(weights.T @ (weights @ basis))
-    _, _, right = np.linalg.svd(weights @ basis, full_matrices=False)
-    return (basis @ right.T)[:, :dimensions]
-
-
 def fit_counts(
     counts: np.ndarray,
     labels: list[int],
@@ -116,12 +106,21 @@ def fit_counts(
     power: int = 8,
     seed: int = 7,
 ) -> Model:
-    """The latent space of labelled texts, given as term counts, and their vectors in it."""
-    counts = np.log1p(counts.astype(np.float32))
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    right = _latent(_unit(counts * idf), dimensions, seed) if len(counts) else np.zeros((TERMS, 1), np.float32)
-    project = (idf[:, None] * right).astype(np.float32)
-    return Model(project, _unit(counts @ project).astype(np.float32), np.array(labels, np.float64), neighbours, power)
+    """The latent space of labelled texts, given as term counts, and their vectors in it.
+
+    Leading right singular vectors by randomised subspace iteration. ``counts`` is damped in place and
+    its weighted form is never written out, which keeps the driver's memory at one such array.
+    """
+    logs = np.log1p(counts, out=counts) if counts.dtype == np.float32 else np.log1p(counts.astype(np.float32))
+    idf = (np.log((1 + len(logs)) / (1 + np.count_nonzero(logs, axis=0))) + 1).astype(np.float32)
+    norms = np.sqrt(np.array([np.square(row * idf).sum() for row in logs], np.float32))[:, None]
+    norms[norms == 0] = 1
+    basis = np.random.default_rng(seed).standard_normal((TERMS, dimensions + 16)).astype(np.float32)
+    for _ in range(5):
+        basis, _ = np.linalg.qr(idf[:, None] * (logs.T @ (logs @ (idf[:, None] * basis) / norms**2)))
+    _, _, right = np.linalg.svd(logs @ (idf[:, None] * basis) / norms, full_matrices=False)
+    project = (idf[:, None] * (basis @ right.T)[:, :dimensions]).astype(np.float32)
+    return Model(project, _unit(logs @ project).astype(np.float32), np.array(labels, np.float64), neighbours, power)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -166,8 +165,8 @@ def train(
     return fit_counts(counts, got["known_label"].tolist(), **options)
 
 
-def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` (0 to 1), computed from the text alone.
+def classify(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and ``score_col`` (0 to 1), computed from the text alone.
 
     NULL texts count as empty; texts too short for a term get the share of label 1 in the sample.
     """
@@ -178,7 +177,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for texts in parts:
             yield pd.Series(shared.value.scores([t.encode() for t in texts]))
 
-    return docs.withColumn("quality_score", scored(text_or_empty(text_col)))
+    return docs.select("*", scored(text_or_empty(text_col)).alias(score_col))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.registry import Registry
-from skyframe.llm import exact_dedup, quality, sharding, simhash, url_filter
+from skyframe.llm import decontaminate, exact_dedup, mixing, quality, sharding, simhash, url_filter
 
 registry = Registry()
 
@@ -59,6 +59,17 @@ def op6(spark, sf_dir):
     return sharding.interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@registry.query("op7_decontamination")
+def op7(spark, sf_dir):
+    documents, benchmark = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    return decontaminate.leaks(documents, benchmark)
+
+
+@registry.query("op9_mixing")
+def op9(spark, sf_dir):
+    return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @registry.query("op10_quality_classifier")
 def op10(spark, sf_dir):
     documents, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
