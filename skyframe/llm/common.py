@@ -33,3 +33,10 @@ def key_of(name: str) -> Column:
 def bucket_count(rows: int) -> int:
     """Square root of the rows: buckets and rows per bucket grow alike."""
     return max(1, math.ceil(math.sqrt(rows)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -156,7 +156,9 @@ def leaks(
 
     # Inside a struct a NULL id is equal to itself, also as a key of the joins below.
     texts = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("doc"), text_or_empty(text_col).alias("text"))
-    coded = texts.select("doc", _codes(_words(F.col("text"))).alias("codes"))
+    # One projection for each step: inside one expression the words would be cut out anew at each use.
+    worded = texts.select("doc", _words(F.col("text")).alias("words"))
+    coded = worded.select("doc", _codes(F.col("words")).alias("codes"))
     every = F.transform(_starts(F.col("codes")), lambda at: _window(F.col("codes"), at))
     found = coded.select("doc", F.explode(every).alias("window")).where("window IS NOT NULL")
     found = _meet(found, items.select("window", "template", (F.size("item_slots") > 0).alias("slotted")), slices)

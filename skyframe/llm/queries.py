@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.registry import Registry
-from skyframe.llm import decontaminate, exact_dedup, mixing, quality, sharding, simhash, url_filter
+from skyframe.llm import decontaminate, exact_dedup, mixing, pii, preference, quality, secrets, sharding, simhash, url_filter
 
 registry = Registry()
 
@@ -18,6 +18,16 @@ def op2(spark, sf_dir):
     return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@registry.query("op3_pii")
+def op3(spark, sf_dir):
+    return pii.find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@registry.query("op4_secret_scan")
+def op4(spark, sf_dir):
+    return secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 #: The rules of the production filter.
 URL_RULES = (
     ("org/", "allow"),
@@ -65,6 +75,13 @@ def op7(spark, sf_dir):
     return decontaminate.leaks(documents, benchmark)
 
 
+@registry.query("op8_preference_format", preference.ORACLE)
+def op8(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = preference.format_pairs(preference.swapped_replies(turns))
+    return rows.withColumns({c: preference.mask_text(rows[c]) for c in ("chosen_mask", "rejected_mask")})
+
+
 @registry.query("op9_mixing")
 def op9(spark, sf_dir):
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
