@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from skyframe.llm.common import text_or_empty
+from skyframe.llm.common import hash_sample, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -296,8 +296,7 @@ def fit_on_documents(
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.where((F.char_length("text") <= max_chars) & F.col("text").rlike("[0-9@]"))
-    rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(max_documents)
-    texts = [r.text for r in rows.select("text").collect()]
+    texts = [r.text for r in hash_sample(rows, max_documents, "doc_id", "text").collect()]
     return fit_field(graph_of(texts, [base_spans(t) for t in texts]))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from skyframe.llm.common import text_or_empty
+from skyframe.llm.common import hash_sample, text_or_empty
 
 #: Hashed byte trigrams, hashed class four-grams, and terms that stand for a repeated word, which weighs as much.
 BYTE_TERMS, CLASS_TERMS, REPEAT_TERMS = 4096, 2048, 32
@@ -131,7 +131,7 @@ def held_out(id_col: str = "doc_id"):
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    max_labelled: int = 4000,
+    max_labelled: int = 2000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
@@ -145,7 +145,7 @@ def train(
     """
     known = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("known_id")).agg(F.max(label_col).cast("int").alias("known_label"))
-    known = known.orderBy(F.xxhash64("known_id"), "known_id").limit(max_labelled)
+    known = hash_sample(known, max_labelled, "known_id")
     rows = docs.select(F.col(id_col).alias("known_id"), text_or_empty(text_col).alias("known_text"))
     rows = rows.join(F.broadcast(known), "known_id")  # at most max_labelled rows
 
@@ -158,11 +158,11 @@ def train(
 
     rows = rows.select("known_id", "known_label", counted("known_text").alias("found"))
     rows = rows.orderBy(F.xxhash64("known_id"), "known_id", F.xxhash64("found.terms", "found.counts")).limit(max_labelled)
-    got = rows.select("known_label", "found.terms", "found.counts").toPandas()
-    counts = np.zeros((len(got), TERMS), np.float32)
-    for row, (terms, found) in enumerate(zip(got["terms"], got["counts"], strict=True)):
-        counts[row, terms] = found
-    return fit_counts(counts, got["known_label"].tolist(), **options)
+    got = rows.select("known_label", "found.terms", "found.counts").toArrow()
+    counts = np.zeros((got.num_rows, TERMS), np.float32)
+    for row in range(got.num_rows):
+        counts[row, got["terms"][row].values.to_numpy()] = got["counts"][row].values.to_numpy()
+    return fit_counts(counts, got["known_label"].to_pylist(), **options)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import saved, text_or_empty
+from skyframe.llm.common import hash_sample, saved, text_or_empty
 
 KEY_CHARS = "A-Za-z0-9_+/=-"
 SHORTEST = 16
@@ -144,8 +144,8 @@ def train(labelled: DataFrame, max_labelled: int = 20_000, trees: int = 30, dept
     them of each label; each label counts as much as the other.
     """
     known = labelled.where("label IN (0, 1)").select("doc_id", "value", "before", "after", "start", "label")
-    order = [F.xxhash64("value", "before", "after"), F.col("doc_id"), F.col("start")]
-    parts = [known.where(F.col("label") == k).orderBy(*order).limit(max_labelled // 2) for k in (0, 1)]
+    columns = ("value", "before", "after", "doc_id", "start")
+    parts = [hash_sample(known.where(F.col("label") == k), max_labelled // 2, *columns) for k in (0, 1)]
     sample = saved(parts[0].unionByName(parts[1]).coalesce(1), "labelled-findings")
     counts = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
