@@ -14,9 +14,9 @@ from skyframe.operators import matches as match_tables
 registry = Registry()
 
 
-def matches(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> DataFrame:
+def matches(spark: SparkSession, sf_dir: str, strategy: str = "broadcast") -> DataFrame:
     return crossmatch.field_match(
-        view(spark, sf_dir, "images"), view(spark, sf_dir, "catalog"), strategy=strategy
+        view(spark, sf_dir, "images"), view(spark, sf_dir, "catalog"), cap=50, strategy=strategy
     )
 
 

@@ -383,7 +383,7 @@ _CONE = separation_sql("ra_center_degrees", "dec_center_degrees", "10.68::double
     " ORDER BY round(s, 9), id LIMIT 50",
 )
 def d2(spark, sf_dir):
-    return crossmatch.cone_search(images(spark, sf_dir), 10.68, 41.27, 12.0).select(
+    return crossmatch.cone_search(images(spark, sf_dir), 10.68, 41.27, 12.0, limit=50).select(
         "id", F.bround("separation", 6).alias("separation")
     )
 
@@ -455,7 +455,7 @@ def f18(spark, sf_dir):
     " ORDER BY capture_date DESC NULLS FIRST, id LIMIT 10000",
 )
 def h4(spark, sf_dir):
-    return search.sky_coverage_points(images(spark, sf_dir))
+    return search.sky_coverage_points(images(spark, sf_dir), limit=10_000)
 
 
 @registry.query(

@@ -532,10 +532,10 @@ def log_lines(spark, sf_dir) -> DataFrame:
         )
         .when(
             F.col("event_type") == "view",
-            F.concat(F.lit("Task app.tasks.indexer.scan[x] succeeded in "), seconds, F.lit("s: ok")),
+            F.concat(F.lit("Task archive.scan[x] succeeded in "), seconds, F.lit("s: ok")),
         )
         .when(F.col("event_type") == "click", F.concat(F.lit("succeeded in  "), seconds, F.lit(" s")))
-        .otherwise("Task app.tasks.bulk failed")
+        .otherwise("Task archive.bulk failed")
     )
     return table(spark, sf_dir, "events").select(
         (F.col("user_id") % 5).alias("file"), e.alias("offset"), line.alias("line")

@@ -309,7 +309,8 @@ def _upsert_sql() -> str:
         "coalesce(n.thumbnail_path, i.thumbnail_path) AS thumbnail_path", "i.astrometry_status",
     ]
     added = [
-        "NULL", "file_path", "file_name", "file_size_bytes", "subtype", "is_plate_solved",
+        "('0x' || substr(md5(file_path), 1, 15))::BIGINT", "file_path", "file_name", "file_size_bytes",
+        "subtype", "is_plate_solved",
         "plate_solve_source", "ra_center_degrees", "dec_center_degrees", "rotation_degrees",
         "width_pixels", "coalesce(capture_date, file_last_modified)", "rating", "thumbnail_path",
         "'NONE'",

@@ -157,7 +157,7 @@ FILTER_SYNONYMS = {
     "Green": ("g", "green"),
     "Blue": ("b", "blue"),
     "Luminance": ("l", "lum", "luminance", "uvircut", "lpro"),
-    "H-Alpha": ("h", "ha", "halpha", "h_alpha"),
+    "H-Alpha": ("h", "ha", "halpha"),
     "OIII": ("o", "o3", "oiii", "oxygen3"),
     "SII": ("s", "s2", "sii", "sulfur2"),
     "Dark": ("dark",),
@@ -211,12 +211,13 @@ def strip_nul(value) -> Column:
 
 
 def strip_nul_map(header) -> Column:
-    """:func:`strip_nul` on the keys and values of a header map."""
+    """:func:`strip_nul` on the keys and values of a header map; of keys that become equal the first counts."""
     entries = F.transform(
         F.map_entries(_col(header)),
         lambda e: F.struct(strip_nul(e["key"]).alias("key"), strip_nul(e["value"]).alias("value")),
     )
-    return F.map_from_entries(entries)
+    keys = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
 
 
 # --- dates -----------------------------------------------------------------------------------

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions import geo
-from skyframe.session import fits_broadcast
 
 DEFAULT_RADIUS = 1.0
 FRAME_MARGIN = 100
@@ -59,10 +58,11 @@ def image_cells(images: DataFrame, ra: str, dec: str, radius: str) -> DataFrame:
     )
 
 
-def catalog_cells(catalog: DataFrame, ra: str, dec: str) -> DataFrame:
-    """One row per catalogue object and level, tagged ``cell_id``."""
+def catalog_cells(catalog: DataFrame, ra: str, dec: str, levels: DataFrame) -> DataFrame:
+    """One row per catalogue object and level that ``levels`` lists, tagged ``cell_id``."""
+    every = catalog.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(geo.MAX_LEVEL))))
     return (
-        catalog.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(geo.MAX_LEVEL))))
+        every.join(F.broadcast(levels), "_level", "left_semi")
         .withColumn("_height", geo.zone_height("_level"))
         .withColumn("_zone", geo.zone_of(dec, "_height"))
         .withColumn("_cells", geo.cells_in_zone("_zone", "_height"))
@@ -111,7 +111,7 @@ def circle_join(
     images: DataFrame,
     catalog: DataFrame,
     radius_col: str = "field_radius_degrees",
-    strategy: str = "auto",
+    strategy: str = "shuffle",
     image_key: tuple[str, ...] = ("id",),
     object_key: tuple[str, ...] = ("catalog_type", "designation"),
     rows_per_task: int = ROWS_PER_CELL_TASK,
@@ -125,13 +125,10 @@ def circle_join(
     ``keep_vectors`` the objects keep their direction as ``_object``; ``prepare`` may add columns
     to the images before they meet the objects.
 
-    strategy: ``broadcast`` copies the catalogue to every executor and spreads the images by their
-    key, so that what follows per image needs no shuffle of the more numerous pairs; ``shuffle``
-    joins on the cell with crowded cells split; ``auto`` broadcasts when the catalogue is counted to
-    be small and shuffles otherwise.
+    strategy: ``shuffle`` joins on the cell with crowded cells split and works at any size;
+    ``broadcast``, for catalogues known to be small, copies the catalogue to every executor and spreads
+    the images by their key, so that what follows per image needs no shuffle of the pairs.
     """
-    if strategy == "auto":
-        strategy = "broadcast" if fits_broadcast(catalog) else "shuffle"
     ra0, dec0 = "ra_center_degrees", "dec_center_degrees"
     images = images.filter(geo.usable_coordinates(ra0, dec0))
     catalog = catalog.filter(geo.usable_coordinates("ra_degrees", "dec_degrees"))
@@ -147,7 +144,8 @@ def circle_join(
     )
     catalog = catalog.withColumn("_object", geo.unit_vector("ra_degrees", "dec_degrees"))
     left = image_cells(images, ra0, dec0, "_radius")
-    right = catalog_cells(catalog, "ra_degrees", "dec_degrees")
+    levels = images.select(geo.level_for_radius("_radius").alias("_level")).distinct()  # eleven at most
+    right = catalog_cells(catalog, "ra_degrees", "dec_degrees", levels)
     if strategy == "broadcast":
         keys, right = ["cell_id"], F.broadcast(right)
     elif strategy == "shuffle":
@@ -167,13 +165,15 @@ def circle_join(
 
 
 def nearest_per_type(
-    pairs: DataFrame, cap: int, image_key: str = "id", uncapped: tuple[str, ...] = UNCAPPED_TYPES
+    pairs: DataFrame, cap: int | None, image_key: str = "id", uncapped: tuple[str, ...] = UNCAPPED_TYPES
 ) -> DataFrame:
-    """At most ``cap`` nearest objects per image and catalogue type; ties go by designation.
+    """At most ``cap`` nearest objects per image and catalogue type, all without ``cap``; ties go by designation.
 
     Uncapped types get a partition per object, so one plain ``rank <= cap`` filter serves all and
     Spark can already drop surplus rows before the shuffle.
     """
+    if cap is None:
+        return pairs
     own_group = F.when(F.col("catalog_type").isin(*uncapped), F.col("designation"))
     nearest = Window.partitionBy(image_key, "catalog_type", own_group).orderBy(
         F.floor(F.col("separation") / geo.ANGLE_TOLERANCE + 0.5), "designation"
@@ -207,8 +207,8 @@ def field_match(
     images: DataFrame,
     catalog: DataFrame,
     margin_px: float = FRAME_MARGIN,
-    cap: int = 50,
-    strategy: str = "auto",
+    cap: int | None = None,
+    strategy: str = "shuffle",
     strict_reference: bool = False,
 ) -> DataFrame:
     """Catalogue objects that really lie in each solved image.
@@ -276,9 +276,9 @@ def near_point(images: DataFrame, ra: float, dec: float, radius: float = 1.0) ->
 
 
 def cone_search(
-    images: DataFrame, ra: float, dec: float, radius: float = 1.0, limit: int | None = 50
+    images: DataFrame, ra: float, dec: float, radius: float = 1.0, limit: int | None = None
 ) -> DataFrame:
-    """The ``limit`` images nearest to a point within ``radius``."""
+    """The images within ``radius`` of a point, or the ``limit`` nearest of them."""
     found = near_point(images, ra, dec, radius)
     if limit is None:
         return found

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,13 @@ BINS = 4096
 STEPS = 2
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL keys meet."""
+    right = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return left.join(right, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def _positions(spec: str | float, n: Column) -> list[Column]:
     """0-based positions in sorted order that a statistic needs."""
     if spec == "median":
@@ -76,7 +85,7 @@ def order_statistics(
 
 def _narrow(data: DataFrame, brackets: DataFrame, keys: list[str], bins: int | None) -> DataFrame:
     """Replace each bracket by the bin (or, without ``bins``, the value) at its position."""
-    inside = data.join(brackets, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    inside = null_safe_join(data, brackets, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     if bins is None:
         cell = F.col("_v")
     else:

@@ -64,15 +64,15 @@ def recent_images(images: DataFrame, n: int = 6) -> DataFrame:
     return images.orderBy(*image_order(images)).limit(n)
 
 
-def sky_coverage_points(images: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Centres of the newest images for a sky map; undated images come first."""
-    return (
-        images.filter(
-            F.col("ra_center_degrees").isNotNull() & F.col("dec_center_degrees").isNotNull()
-        )
-        .orderBy(F.col("capture_date").desc_nulls_first(), F.col("id"))
-        .limit(limit)
-        .select(F.col("ra_center_degrees").alias("ra"), F.col("dec_center_degrees").alias("dec"))
+def sky_coverage_points(images: DataFrame, limit: int | None = None) -> DataFrame:
+    """Centres of the images for a sky map, or of the ``limit`` newest; undated images come first."""
+    solved = images.filter(
+        F.col("ra_center_degrees").isNotNull() & F.col("dec_center_degrees").isNotNull()
+    )
+    if limit is not None:
+        solved = solved.orderBy(F.col("capture_date").desc_nulls_first(), F.col("id")).limit(limit)
+    return solved.select(
+        F.col("ra_center_degrees").alias("ra"), F.col("dec_center_degrees").alias("dec")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions.text import canonical_filter
-from skyframe.operators.order_stats import order_statistics
+from skyframe.operators.order_stats import null_safe_join, order_statistics
 
 COUNTED_SUBTYPES = ("SUB_FRAME", "INTEGRATION_MASTER")
 
@@ -123,6 +123,7 @@ def detected_objects(matches: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: the first two levels of a path.
 MOUNT_PATTERN = "^/[^/]+/[^/]+"
 
 
@@ -312,7 +313,7 @@ def duration_summary(durations: DataFrame, keys: Sequence[str], seconds: str, wo
     )
     medians = order_statistics(durations, keys, seconds, {"median_s": "median"})
     capacity = F.when(F.col("mean_s") > 0, 60 / F.col("mean_s") * F.col(workers).try_cast("int"))
-    return plain.join(medians, list(keys)).withColumn(
+    return null_safe_join(plain, medians, list(keys)).withColumn(
         "tasks_per_minute", F.coalesce(capacity, F.lit(0.0))
     )
 
@@ -330,7 +331,7 @@ def latency_summary(log: DataFrame, key: str, latency: str, success: str) -> Dat
     )
     p95 = order_statistics(log, [key], latency, {"p95_latency": 0.95})
     return (
-        plain.join(p95, key)
+        null_safe_join(plain, p95, [key])
         .withColumn("p95_latency", F.bround("p95_latency", 2))
         .withColumn(
             "success_rate", F.bround(F.col("successes") / F.col("total_requests") * 100, 2)
@@ -390,7 +391,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: str, block: Column,
             for src, out in columns.items()
         }
     )
-    joined = filled.join(starts, [*keys, "_block"])
+    joined = null_safe_join(filled, starts, [*keys, "_block"])
     for out in columns.values():
         joined = joined.withColumn(out, F.coalesce(f"_in_{out}", f"_start_{out}")).drop(
             f"_in_{out}", f"_start_{out}"

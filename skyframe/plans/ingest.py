@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.functions import geo
@@ -268,17 +268,22 @@ EXIF_TAGS = (
 
 
 def exif_images(
-    tags: DataFrame, sidecar_ratings: DataFrame | None = None, embedded: DataFrame | None = None
+    tags: DataFrame,
+    sidecar_ratings: DataFrame | None = None,
+    embedded: DataFrame | None = None,
+    inventory: DataFrame | None = None,
 ) -> DataFrame:
     """Image columns from (path, tag, value) rows; one aggregation, no pivot pass.
 
+    One row for every path of ``inventory``, or, without it, for every path with any tag, listed or not.
+
     Ratings: XMP sidecar (path, rating) before embedded XMP (path, rating) before the EXIF tag.
     """
-    wide = (
-        tags.filter(F.col("tag").isin(*EXIF_TAGS))
-        .groupBy("path")
-        .agg(*[F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t) for t in EXIF_TAGS])
+    wide = tags.groupBy("path").agg(
+        *[F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t) for t in EXIF_TAGS]
     )
+    if inventory is not None:
+        wide = inventory.select("path").distinct().join(wide, "path", "left")
 
     def tag(name: str) -> Column:
         return F.col(f"`{name}`")
@@ -336,17 +341,30 @@ def _with_date(incoming: DataFrame) -> DataFrame:
     return incoming.withColumn("capture_date", F.coalesce("capture_date", "file_last_modified"))
 
 
+def path_id(path: str = "file_path") -> Column:
+    """A number for a path, the same in every run: the first 60 bits of its MD5."""
+    return F.conv(F.substring(F.md5(F.col(path).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _newest(incoming: DataFrame) -> DataFrame:
+    """The newest state of each path."""
+    ages = [c for c in ("file_last_modified", "file_size_bytes") if c in incoming.columns]
+    newest = Window.partitionBy("file_path").orderBy(*[F.col(c).desc_nulls_last() for c in ages], "file_path")
+    return incoming.withColumn("_n", F.row_number().over(newest)).filter("_n <= 1").drop("_n")
+
+
 def upsert_images(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Image table after an extraction run; key ``file_path``.
 
     Known files get the new metadata, but keep the solution when the solver made it, keep
     thumbnail and annotation when there is no new one, and never change name, format or subtype.
-    New files are added with the defaults; their ``id`` is left to the table (NULL here).
+    New files are added with the defaults; without an ``id`` of their own they get :func:`path_id`. Of
+    a file that is reported twice the newest state counts.
 
     The current table is only joined to the incoming side, so when that is small the wide rows
     stay where they are.
     """
-    incoming = _with_date(incoming)
+    incoming = _newest(_with_date(incoming))
     fields = [c for c in incoming.columns if c in current.columns and c != "file_path"]
     changes = incoming.select(
         "file_path", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in fields]
@@ -367,6 +385,9 @@ def upsert_images(current: DataFrame, incoming: DataFrame) -> DataFrame:
     updated = current.join(changes, "file_path", "left").select(*columns)
     known = current.select("file_path").join(incoming.select("file_path"), "file_path", "left_semi")
     added = incoming.join(known, "file_path", "left_anti")
+    if "id" in current.columns:
+        own = [F.col("id")] if "id" in added.columns else []
+        added = added.withColumn("id", F.coalesce(*own, path_id()).cast(current.schema["id"].dataType))
     if "astrometry_status" not in added.columns:
         added = added.withColumn("astrometry_status", F.lit("NONE"))
     return updated.unionByName(

@@ -1,4 +1,4 @@
-"""Session helpers: where long lineages are cut and when a side may be broadcast."""
+"""Session helpers: where long lineages are cut."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest row count of a side that is broadcast on purpose. Rows of the broadcast sides are
-# narrow (about 100 bytes), so this stays far below the executor memory of any cluster.
-MAX_BROADCAST_ROWS = 200_000
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -44,7 +39,3 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
-
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` provably has at most ``max_rows`` rows; reads no more than that plus one."""
-    return df.select().limit(max_rows + 1).count() <= max_rows

@@ -163,10 +163,20 @@ def fits_headers(files: DataFrame, content: str = "content") -> DataFrame:
     return with_card_map(header_cards(files, content))
 
 
+# Fixed value: how a FITS file begins.
+SIGNATURE = b"SIMPLE  ="
+
+
 def _read_header(file) -> list[str] | None:
-    """Cards up to END from the current position, leaving the file after the header's blocks."""
+    """Cards up to END from the current position, leaving the file after the header's blocks.
+
+    Reading stops at a block that is no text, so a file without END is not read to its last byte.
+    """
     cards: list[str] = []
-    while block := file.read(BLOCK).decode("latin-1"):
+    while raw := file.read(BLOCK):
+        if not raw.isascii():
+            return None
+        block = raw.decode("ascii")
         for at in range(0, len(block), CARD):
             if block[at : at + CARD] == END_CARD:
                 return cards
@@ -177,35 +187,55 @@ def _read_header(file) -> list[str] | None:
 def _data_bytes(cards: list[str]) -> int:
     """Size of the data that follows a header, in whole blocks."""
     number = {c[:8].rstrip(): c[10:].split("/")[0].strip() for c in cards if c[8:10] == "= "}
-    axes = int(number.get("NAXIS", 0))
-    size = abs(int(number.get("BITPIX", 8))) // 8 if axes else 0
+    axes = int(float(number.get("NAXIS", 0)))
+    size = abs(int(float(number.get("BITPIX", 8)))) // 8 if axes else 0
     for i in range(1, axes + 1):
-        size *= int(number[f"NAXIS{i}"])
+        size *= int(float(number[f"NAXIS{i}"]))
     return -(-size // BLOCK) * BLOCK
 
 
+def _cards_of(path: str) -> tuple[list[str] | None, str | None]:
+    """The cards of a file and what was wrong with it; a damaged file does not end the job."""
+    cards = None
+    try:
+        with open(path, "rb") as file:
+            if not file.read(9).startswith(SIGNATURE):
+                return None, "not a FITS file"
+            file.seek(0)
+            cards = _read_header(file)
+            if cards is None:
+                return None, "no END card"
+            if len(cards) < FEW_CARDS:
+                file.seek(_data_bytes(cards), os.SEEK_CUR)
+                cards = _read_header(file) or cards
+    except (OSError, ValueError, KeyError, OverflowError) as error:
+        return cards, f"{type(error).__name__}: {error}"
+    return cards, None
+
+
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Read only the header blocks of each file, skipping over the pixel data."""
     for batch in batches:
-        found = []
-        for path in batch["path"]:
-            with open(path, "rb") as file:
-                cards = _read_header(file)
-                if cards is not None and len(cards) < FEW_CARDS:
-                    file.seek(_data_bytes(cards), os.SEEK_CUR)
-                    cards = _read_header(file) or cards
-            found.append(cards)
-        yield pd.DataFrame({"path": batch["path"], "cards": found})
+        found = [_cards_of(path) for path in batch["path"]]
+        cards, errors = zip(*found, strict=True) if found else ((), ())
+        yield pd.DataFrame({"path": batch["path"], "cards": list(cards), "error": list(errors)})
 
 
 def read_fits_headers(inventory: DataFrame) -> DataFrame:
-    """(path, raw_header) of FITS files on a mounted file system.
+    """(path, error, raw_header) of FITS files on a mounted file system.
+
+    Damaged and foreign files have ``error`` set and, unless the primary header could be read, no
+    header.
 
     Only the header blocks are read, a few kilobytes per file however large its pixels are; the
     decoding of the cards is the same as for :func:`fits_headers`.
     """
     schema = T.StructType(
-        [T.StructField("path", T.StringType()), T.StructField("cards", T.ArrayType(T.StringType()))]
+        [
+            T.StructField("path", T.StringType()),
+            T.StructField("cards", T.ArrayType(T.StringType())),
+            T.StructField("error", T.StringType()),
+        ]
     )
     cards = inventory.select("path").mapInPandas(_read_headers, schema)
     return with_card_map(cards)
@@ -227,14 +257,20 @@ def xisf_xml(content) -> Column:
 
 
 def xisf_entries(xml) -> Column:
-    """Keywords of the first image as struct<key,value> array, values without their quotes."""
+    """Keywords of the first image as struct<key,value> array, values without their quotes.
+
+    Keywords without a value have an empty one and stand at the end; elements without a name are
+    left out. Names and values are read from the same elements, so none can slip to another.
+    """
     xml = F.col(xml) if isinstance(xml, str) else xml
     keyword = "/xisf/Image[1]/FITSKeyword"
-    return F.zip_with(
-        F.xpath(xml, F.lit(f"{keyword}/@name")),
-        F.xpath(xml, F.lit(f"{keyword}/@value")),
+    whole = F.zip_with(
+        F.xpath(xml, F.lit(f"{keyword}[@name and @value]/@name")),
+        F.xpath(xml, F.lit(f"{keyword}[@name and @value]/@value")),
         lambda n, v: F.struct(n.alias("key"), F.trim(F.trim(v, F.lit("'"))).alias("value")),
     )
+    bare = F.xpath(xml, F.lit(f"{keyword}[@name and not(@value)]/@name"))
+    return F.concat(whole, F.transform(bare, lambda n: F.struct(n.alias("key"), F.lit("").alias("value"))))
 
 
 def xisf_size(xml) -> Column:
