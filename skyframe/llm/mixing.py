@@ -84,15 +84,16 @@ def rake(
     for _ in range(max_sweeps):
         for dimension, target in wanted.items():
             sums = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
-            factors = sums.join(target, dimension).select(
+            factors = sums.join(target.hint("merge"), dimension).select(
                 dimension, F.when(F.col("mass") > 0, F.col("wanted") / F.col("mass")).otherwise(0.0).alias("factor")
             )
-            cells = cells.join(factors, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        cells = saved(cells, "raked")
+            # Merged, not broadcast: many small broadcasts would pile up on the driver.
+            raked = cells.join(factors.hint("merge"), dimension)
+            cells = saved(raked.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
         errors = []
         for dimension, target in wanted.items():
             sums = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
-            errors.append(sums.join(target, dimension).select(F.abs(F.col("mass") - F.col("wanted")).alias("error")))
+            errors.append(sums.join(target.hint("merge"), dimension).select(F.abs(F.col("mass") - F.col("wanted")).alias("error")))
         worst = (reduce(DataFrame.unionByName, errors).agg(F.max("error")).first()[0] or 0.0) / total
         if worst <= tolerance:
             break
