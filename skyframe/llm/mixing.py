@@ -14,6 +14,7 @@ the same documents on any cluster.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from skyframe.llm.common import key_of, saved, text_or_empty
 
 DIMENSIONS = ("source_key", "lang_key", "topic")
+#: Cells that a task rakes at least: a table of no more than this is raked without a shuffle.
+CELLS_A_TASK = 100_000
 
 # The topics, tried in this order, by what the text holds.
 TOPICS = (
@@ -75,31 +78,36 @@ def rake(
     and the shares normalised. Sweeps end at ``tolerance``, or at ``max_sweeps`` where targets
     contradict each other, as they do if the only cells of a source are those of a language with target zero.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    cells = cells.withColumn("weight", F.lit(1.0))
+    total, rows = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    # A table of one partition needs no exchange for its sums and joins; larger ones shuffle as usual.
+    tasks = max(1, math.ceil(rows / CELLS_A_TASK))
+    cells = cells.withColumn("weight", F.lit(1.0)).coalesce(tasks)
     if not total:
         return cells, 0.0
-    wanted = {d: saved(_wanted(cells, d, t, total), "targets") for d, t in targets.items()}
+    wanted = {d: saved(_wanted(cells, d, t, total), "targets").coalesce(tasks) for d, t in targets.items()}
     worst = float("inf")
     for _ in range(max_sweeps):
         for dimension, target in wanted.items():
-            sums = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
-            factors = sums.join(target.hint("merge"), dimension).select(
+            factors = _margin(cells, dimension, target).select(
                 dimension, F.when(F.col("mass") > 0, F.col("wanted") / F.col("mass")).otherwise(0.0).alias("factor")
             )
             # Merged, not broadcast: many small broadcasts would pile up on the driver.
             raked = cells.join(factors.hint("merge"), dimension)
-            cells = saved(raked.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "raked")
-        errors = []
-        for dimension, target in wanted.items():
-            sums = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
-            errors.append(sums.join(target.hint("merge"), dimension).select(F.abs(F.col("mass") - F.col("wanted")).alias("error")))
+            raked = raked.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            cells = saved(raked, "raked").coalesce(tasks)
+        errors = [_margin(cells, d, t).select(F.abs(F.col("mass") - F.col("wanted")).alias("error")) for d, t in wanted.items()]
         worst = (reduce(DataFrame.unionByName, errors).agg(F.max("error")).first()[0] or 0.0) / total
         if worst <= tolerance:
             break
     return cells, worst
 
 
+def _margin(cells: DataFrame, dimension: str, target: DataFrame) -> DataFrame:
+    """``target`` with ``mass``, the weighted tokens that each key has."""
+    sums = cells.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
+    return sums.join(target.hint("merge"), dimension)
+
+
 def _wanted(cells: DataFrame, dimension: str, target: DataFrame, total: int) -> DataFrame:
     """``dimension, wanted``: the tokens that each key shall have."""
     sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
