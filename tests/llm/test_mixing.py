@@ -52,6 +52,20 @@ def test_keys_without_a_target_share_the_rest(spark):
     assert worst < 1e-6
 
 
+def test_no_targets_and_targets_that_contradict(spark):
+    cells = spark.createDataFrame([("a", "l", "t", 10), ("b", "m", "t", 30)], "source_key string, lang_key string, topic string, tokens long")
+    got, worst = M.rake(cells, {})
+    assert {r.source_key: r.weight for r in got.collect()} == {"a": 1.0, "b": 1.0} and worst == 0.0
+    shares = [{"a": 0.5, "b": 0.5}, {"l": 0.25, "m": 0.75}]
+    targets = {
+        d: spark.createDataFrame(list(s.items()), "key string, share double") for d, s in zip(M.DIMENSIONS, shares, strict=False)
+    }
+    got, worst = M.rake(cells, targets, max_sweeps=3)
+    # The last dimension holds, the sources are 10 of 40 tokens off.
+    assert {r.lang_key: round(r.tokens * r.weight, 6) for r in got.collect()} == {"l": 10, "m": 30}
+    assert worst == pytest.approx(0.25) and got.columns == [*cells.columns, "weight"]
+
+
 def test_probabilities_meet_the_budget(spark):
     cells = spark.createDataFrame([(100, 5.0), (1000, 1.0), (500, 0.1), (50, 0.0)], "tokens long, weight double")
     for share, whole in ((0.5, False), (0.9, False), (1.0, True)):
