@@ -7,8 +7,8 @@ A window counts only if at least three of its words are no slots. Texts of fewer
 one window of their own length.
 
 A re-parameterised question has the same template with other values, used alike: whatever fills a
-slot of the item in one place must fill it in all places of that occurrence. Occurrences in which it
-does not lose the windows that hold a slot. A document leaks an item if it has four fifths of the
+slot of the item in one place must fill it in all places of that occurrence. Where it does not, the
+occurrence loses the windows that hold this slot. A document leaks an item if it has four fifths of the
 item's windows.
 
 Only the benchmark is broadcast, in slices of ``slice_rows`` windows, each joined alike; a benchmark
@@ -129,6 +129,31 @@ def _meet(windows: DataFrame, items: DataFrame, slices: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _consistent(hits: DataFrame, similarity: float) -> DataFrame:
+    """The ``hits`` of each occurrence without those that hold a slot of the item that is filled in two ways.
+
+    A shift is the distance of a place in the document from its place in the item, and every shift that
+    is met is the middle of an occurrence: words that were added or left out shift what follows a little.
+    Of the hits around it, those count that are nearest to it both for their place in the document and
+    for their place in the item, so a template that repeats itself is compared place by place.
+    """
+    key = ["doc", "template", "middle"]
+    reach = F.floor((1 - F.lit(similarity)) * F.col("n_windows") + 1)
+    hits = hits.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("reach", reach)
+    cell = F.floor(F.col("shift") / (F.col("reach") + 1))
+    middles = hits.select("doc", "template", cell.alias("cell"), F.col("shift").alias("middle")).distinct()
+    around = hits.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).join(middles, ["doc", "template", "cell"])
+    around = around.withColumn("off", F.abs(F.col("shift") - F.col("middle"))).where("off <= reach")
+    for place in ("at", "item_at"):
+        around = around.withColumn(f"least_{place}", F.min("off").over(Window.partitionBy(*key, place)))
+    near = around.where("off = least_at AND off = least_item_at").select(*key, "window", "at", "item_at", "item_slots", "slots")
+    near = saved(near, "slot-places")
+    filled = near.select(*key, "at", "item_at", F.inline(F.arrays_zip("item_slots", "slots")))
+    clashes = filled.groupBy(*key, "item_slots").agg((F.min("slots") != F.max("slots")).alias("clash")).where("clash")
+    clashing = filled.join(clashes, [*key, "item_slots"], "left_semi").select(*key, "at", "item_at").distinct()
+    return near.join(clashing, [*key, "at", "item_at"], "left_anti")
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -146,11 +171,10 @@ def leaks(
     """
     of_items, templates = benchmark_templates(benchmark)
     items = _windows(templates.withColumn("codes", _codes(F.col("words"))), "template")
-    # A window that comes twice in a template counts once, at its first place.
-    items = items.groupBy("template", "window").agg(F.min(F.struct("at", "slots")).alias("first"))
-    items = items.select("template", "window", F.col("first.at").alias("item_at"), F.col("first.slots").alias("item_slots"))
+    # Every place of a window that comes more than once in a template.
+    items = items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"})
     items = saved(items, "benchmark-windows")
-    sizes = items.groupBy("template").agg(F.count("*").alias("n_windows"))
+    sizes = items.groupBy("template").agg(F.count_distinct("window").alias("n_windows"))
     slices = max(1, math.ceil(items.count() / slice_rows))
     enough = F.col("n_found") >= F.ceil(F.lit(similarity) * F.col("n_windows") - 1e-9)
 
@@ -161,7 +185,7 @@ def leaks(
     coded = worded.select("doc", _codes(F.col("words")).alias("codes"))
     every = F.transform(_starts(F.col("codes")), lambda at: _window(F.col("codes"), at))
     found = coded.select("doc", F.explode(every).alias("window")).where("window IS NOT NULL")
-    found = _meet(found, items.select("window", "template", (F.size("item_slots") > 0).alias("slotted")), slices)
+    found = _meet(found, items.select("window", "template", (F.size("item_slots") > 0).alias("slotted")).distinct(), slices)
     found = found.groupBy("doc", "template").agg(
         F.count_distinct("window").alias("n_found"),
         F.count_distinct(F.when(~F.col("slotted"), F.col("window"))).alias("n_plain"),
@@ -175,18 +199,7 @@ def leaks(
     suspects = _windows(suspects.withColumn("codes", _codes(F.col("words"))), "doc")
     hits = _meet(suspects, items.where(F.size("item_slots") > 0), slices).join(held, ["doc", "template"])
     hits = saved(hits.withColumn("shift", F.col("at") - F.col("item_at")), "slot-windows")
-    # Words that were added or left out shift what follows a little; another occurrence lies further on.
-    along = Window.partitionBy("doc", "template").orderBy("shift")
-    apart = F.col("shift") - F.lag("shift").over(along) > (1 - F.lit(similarity)) * F.col("n_windows") + 1
-    shifts = hits.select("doc", "template", "n_windows", "shift").distinct().withColumn("apart", apart.cast("int"))
-    occurrence = F.coalesce(F.sum("apart").over(along), F.lit(0)).alias("occurrence")
-    hits = hits.join(shifts.select("doc", "template", "shift", occurrence), ["doc", "template", "shift"])
-    filled = hits.select("doc", "template", "occurrence", F.inline(F.arrays_zip("item_slots", "slots")))
-    values = filled.groupBy("doc", "template", "occurrence", "item_slots")
-    clashes = values.agg((F.min("slots") != F.max("slots")).alias("clash")).where("clash")
-    clashes = clashes.select("doc", "template", "occurrence").distinct()
-    good = hits.join(clashes, ["doc", "template", "occurrence"], "left_anti")
-    good = good.groupBy("doc", "template").agg(F.count_distinct("window").alias("n_good"))
+    good = _consistent(hits, similarity).groupBy("doc", "template").agg(F.count_distinct("window").alias("n_good"))
 
     found = found.join(good, ["doc", "template"], "left")
     found = found.withColumn("n_found", F.col("n_plain") + F.coalesce("n_good", F.lit(0))).where(enough)

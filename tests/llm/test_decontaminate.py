@@ -54,6 +54,26 @@ def test_leaks_and_lookalikes(spark):
     assert got[1, 3].similarity == 1 and got[3, 1].similarity == 0.96  # "A" is a name after an unfinished sentence
 
 
+GAMES = (
+    "The red team scored 12 points in the first game, scored 15 points in the second game, scored 9 points in the third "
+    "game and scored 20 points in the last game, so how many points per game did the red team score on average over the whole season?"
+)
+STEPS = "Now " + " then ".join(f"add {n} to the sum" for n in (3, 8, 3, 5, 8, 2)) + " and say what the sum is at the end of it all."
+
+
+def test_templates_that_repeat_themselves(spark):
+    """Verbatim, with words added, with other values used alike, and with one value used otherwise."""
+    other = STEPS.replace("3", "71").replace("8", "64")
+    rows = [
+        (1, f"{FILL}. {GAMES} {FILL}"), (2, GAMES.replace("game and", "game of all and")), (3, GAMES.replace("15", "31").replace("9", "7")),
+        (4, f"{FILL}. {STEPS} {FILL}"), (5, other), (6, f"{FILL}. {STEPS} {STEPS}"), (7, FILL),
+        (8, f"{GAMES} In the new year the red team scored 30 points in the first game, scored 31 points in the second game."),
+    ]
+    got = found(spark, rows, [(1, GAMES), (2, STEPS)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (8, 1), (4, 2), (5, 2), (6, 2)}
+    assert all(got[k].similarity == 1 for k in [(1, 1), (4, 2), (6, 2), (8, 1)])
+
+
 def test_slices_change_nothing(spark):
     rows = [(1, ITEM), (2, OTHER), (3, MIXED), (4, FILL)]
     items = [(1, ITEM), (2, MIXED), (3, FILL)]
