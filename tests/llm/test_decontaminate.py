@@ -74,6 +74,24 @@ def test_templates_that_repeat_themselves(spark):
     assert all(got[k].similarity == 1 for k in [(1, 1), (4, 2), (6, 2), (8, 1)])
 
 
+def test_literal_windows(spark):
+    """Other capitals, passages inside a sentence, and items that have no window of three plain words."""
+    named = (
+        "When Alice meets Bob near the old bridge they count 14 boats while Carol and Dave sit on the wall and wait for the rain to stop."
+    )
+    capital, sums, people = "What is the capital city of this country", "12 + 15 + 18 - 20 = 25", "Then Alice Bob 12 Carol Dave 13 Eve"
+    clauses, loud = "一年有多少天，一天有多少小时？", "WHO HAS THE LAST WORD IN ALL OF THIS"
+    rows = [
+        (1, named.lower()), (2, f"{FILL}. {named.upper()}"), (3, f"we then asked {capital}"), (4, f"{FILL} {sums} {FILL}"),
+        (5, f"{FILL}. {people.lower()} {FILL}"), (6, f"{FILL}. {clauses}{FILL}"), (7, loud), (8, f"{FILL}. {loud.lower()}"),
+        (9, "12 + 15 + 18 - 20 = 26 and 15 + 18 - 20 = 25"), (10, "一年有三天，一天有多少分钟？"), (11, f"{FILL} {people[5:20]} {FILL}"),
+        (12, named.replace("Alice", "Zoë").replace("14", "15")), (13, named.replace("Alice", "Zoë").lower()), (14, named.title()),
+    ]
+    got = found(spark, rows, [(1, named), (2, capital), (3, sums), (4, people), (5, clauses), (6, loud)])
+    assert set(got) == {(1, 1), (2, 1), (12, 1), (13, 1), (14, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6), (8, 6)}
+    assert all(got[k].similarity == 1 for k in [(1, 1), (2, 1), (12, 1), (14, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6), (8, 6)])
+
+
 def test_slices_change_nothing(spark):
     rows = [(1, ITEM), (2, OTHER), (3, MIXED), (4, FILL)]
     items = [(1, ITEM), (2, MIXED), (3, FILL)]
