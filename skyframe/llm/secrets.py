@@ -1,6 +1,7 @@
 """Secret scan with a random forest that takes out false positives, in DataFrame functions only.
 
-Every run of 16 or more key characters in a text is a candidate. Its features are the length, how often
+Every run of 16 or more key characters in a text is a candidate; '.' may join its parts and '=' only pad
+its end. What is assigned to a secret's name is one from four characters on, whatever they are. Features are the length, how often
 the character class changes and how even the characters are spread, the share of letters that common
 syllables and words cover, whether it stands in a path or an address, and the words on both sides.
 The forest is trained on labelled findings, at most ``max_labelled`` of them; without any at hand,
@@ -22,6 +23,8 @@ from skyframe.llm.common import hash_sample, saved, text_or_empty
 
 KEY_CHARS = "A-Za-z0-9_+/=-"
 SHORTEST = 16
+#: What is assigned to a secret's name may be as short as this.
+SHORTEST_NAMED = 4
 #: Characters on either side that are looked at.
 CONTEXT = 48
 
@@ -42,16 +45,44 @@ FEATURES = (
 )
 
 
+_KEY = KEY_CHARS.replace("=", "")
+_NAMED = rf"(?i:{'|'.join(SECRET_WORDS.split())})[\"']?[ \t]{{0,4}}[:=]>?[ \t]{{0,4}}"
+#: A first look at what comes right before, as most places fail it.
+_ASSIGNED = r"(?<=[:=>\"'`][ \t]{0,4})"
+_PLAIN = r"""[^\s"'`,;&<>(){}\[\]|\\]"""
+
+
+def _token(shortest: int) -> str:
+    """A run of key characters with dots inside and '=' at the end, all counted."""
+    part = rf"(?:[{_KEY}]|\.(?=[{_KEY}]))"
+    lengths = "|".join(f"{part}{{{shortest - k}}}{'=' * k}{'(?![=' + _KEY + '])' if k else ''}" for k in range(3))
+    return rf"(?=[{_KEY}])(?={lengths})[{_KEY}]++(?:\.[{_KEY}]++)*+(?:={{1,2}}(?![={_KEY}]))?+"
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, start, end, value, before, after`` of all long runs of key characters, '=' among them."""
+    run = f"(?<![{KEY_CHARS}])[{KEY_CHARS}]{{{SHORTEST},}}"
+    return _cut_out(docs, run, f"[{KEY_CHARS}]{{{SHORTEST}}}", id_col, text_col)
+
+
+def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same of what is judged: what is assigned to a secret's name, quoted or not, and long tokens."""
+    quoted = rf"{_ASSIGNED}(?<={_NAMED}[\"'`])[^\s\"'`]{{{SHORTEST_NAMED},}}+(?=[\"'`])"
+    named = rf"{_ASSIGNED}(?<={_NAMED}[\"'`]?){_PLAIN}{{{SHORTEST_NAMED},}}(?<![.:?])"
+    token = rf"(?<![{_KEY}]){_token(SHORTEST)}"
+    some = rf"[.{KEY_CHARS}]{{{SHORTEST}}}|{_NAMED}[\"'`]?[^\s\"'`]"
+    return _cut_out(docs, f"(?:{quoted}|{named}|{token})", some, id_col, text_col)
+
+
+def _cut_out(docs: DataFrame, run: str, some: str, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, start, end, value, before, after``; offsets in characters, ``end`` exclusive.
 
     One pass cuts a text into gaps and candidates; the offsets are running sums of their lengths.
     """
-    run = f"(?<![{KEY_CHARS}])[{KEY_CHARS}]{{{SHORTEST},}}"
     pattern = rf"([\s\S]*?)({run}|\z)"
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     # Texts without a candidate need not be cut up.
-    rows = rows.where(F.col("text").rlike(f"[{KEY_CHARS}]{{{SHORTEST}}}"))
+    rows = rows.where(F.col("text").rlike(some))
     rows = rows.select(
         "doc_id",
         F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("gaps"),
@@ -68,13 +99,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lambda a: a.starts,
     )
     rows = rows.withColumn("starts", ends)
+    # A name before a value may be a candidate itself.
+    around = lambda name, k: F.when(k >= 0, F.coalesce(F.get(name, k), F.lit(""))).otherwise("")
     every = F.transform(
         F.sequence(F.lit(0), F.size("runs") - 1),
         lambda k: F.struct(
             F.get("starts", k).start.alias("start"),
             F.get("runs", k).alias("value"),
-            F.substring(F.get("gaps", k), -CONTEXT, CONTEXT).alias("before"),
-            F.substring(F.coalesce(F.get("gaps", k + 1), F.lit("")), 1, CONTEXT).alias("after"),
+            F.substring(F.concat(around("runs", k - 1), F.get("gaps", k)), -CONTEXT, CONTEXT).alias("before"),
+            F.substring(F.concat(around("gaps", k + 1), around("runs", k + 1)), 1, CONTEXT).alias("after"),
         ),
     )
     rows = rows.select("doc_id", F.inline(every)).where("value <> ''")
@@ -93,7 +126,8 @@ def _has_word(words: str, text: Column) -> Column:
 def with_features(found: DataFrame) -> DataFrame:
     """``found`` with the columns of :data:`FEATURES`."""
     v, before, after = F.col("value"), F.col("before"), F.col("after")
-    kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "_+/=-", "-----")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
+    kinds = F.regexp_replace(kinds, "[^aB0]", "-")
     n = F.char_length(v)
     covered = 1 - F.char_length(F.regexp_replace(F.lower(v), "|".join(sorted(SYLLABLES, key=len, reverse=True)), "")) / n
     kind_count = reduce(lambda a, b: a + b, [F.contains(kinds, F.lit(k)).cast("double") for k in "aB0-"])
@@ -109,8 +143,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "vowels": _share("[^aeiouAEIOU]", v),
         "covered": covered,
         "slashes": _share("[^/]", v),
-        "in_path": (before.rlike(r"[\w.]/$|[A-Za-z]:\\\\$") | after.rlike(r"^\.[a-z]{1,4}\b")).cast("double"),
-        "in_address": before.rlike(r"(?i)https?:\S*$|www\.\S*$").cast("double"),
+        "in_path": (before.rlike(r"[\w.]/$|[A-Za-z]:\\\\$") | after.rlike(r"^\.[a-z]{1,4}\b") | v.rlike(r"\.[a-z]{1,4}$")).cast("double"),
+        "in_address": (before.rlike(r"(?i)https?:\S*$|www\.\S*$") | v.rlike(r"(?i)^(?://)?www\.")).cast("double"),
         "quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double"),
         "assigned": before.rlike(r"[:=]>?\s*[\"'`]?$").cast("double"),
         "secret_word": _has_word(SECRET_WORDS, before),
@@ -125,7 +159,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
     """``found`` with ``label``: 1 and 0 in the clear cases, else NULL.
 
     1: assigned to a secret's name and of letters and digits. 0: letters only, or after a word for
-    another kind of value, or part of an address or a path.
+    another kind of value, or part of an address or a path, but for what a name in it is given.
     """
     v, before = F.col("value"), F.col("before")
     names = "|".join(SECRET_WORDS.split())
@@ -133,7 +167,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
     named = before.rlike(rf"(?i)(?:{names})[\"']?\s*[:=]>?\s*[\"'`]?$")
     other = before.rlike(rf"(?i)(?<![a-z0-9])(?:{'|'.join(OTHER_WORDS.split())})[\"']?\s*[:=]?\s*[\"'`]?$")
     placed = before.rlike(r"(?i)https?:\S*$|[\w.]/$")
-    label = F.when(other | placed | ~v.rlike("[^A-Za-z-]"), 0).when(named & mixed, 1)
+    label = F.when(other | ~v.rlike("[^A-Za-z.-]"), 0).when(named & mixed, 1).when(placed, 0)
     return found.withColumn("label", label.cast("double"))
 
 
@@ -171,10 +205,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     ``labelled`` (``doc_id, start, value, before, after, label``) defaults to the clear cases among the
     candidates themselves. NULL texts count as empty and hold none; repeated rows give repeated
     findings. Values are given as digests, so that the report holds no secrets. Other columns are ignored.
+    Where one kind of label is missing and no forest is fitted, the clear cases count: score 1 for secrets.
     """
-    found = saved(candidates(docs), "secret-candidates")
+    found = saved(findings(docs), "secret-candidates")
     model = train(weak_labels(found) if labelled is None else labelled, **options)
-    return judge(found, model).select(
+    judged = judge(found, model)
+    if model is None:
+        judged = weak_labels(judged).withColumn("score", F.when(F.col("label") == 1, 1.0).otherwise(F.col("score")))
+    return judged.select(
         "doc_id",
         "start",
         "end",

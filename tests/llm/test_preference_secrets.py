@@ -140,3 +140,26 @@ def test_scan_uses_no_python_workers(spark):
 def test_features(spark, name, value):
     found = spark.createDataFrame([("ABCDefgh12345678", 'the token = "', '" end')], "value string, before string, after string")
     assert S.with_features(found).select(F.col(name)).first()[0] == value
+
+
+def test_values_of_names(spark):
+    """NAME=VALUE without blanks, short and dotted values, padding, and no forest for want of other labels."""
+    key, jwt, base = "sk9f8e7d6c5b4a39281706", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM3", "c2hvcnRiYXNlNjR0ZXh0Zm9vYg=="
+    want = {
+        1: (f"export API_KEY={key}", key), 2: ('password="hunter2Q9x!"', "hunter2Q9x!"), 3: (f"http://a.org/x?token={key}&y=1", key),
+        4: (f"auth Bearer {jwt} sent", jwt), 5: (f"secret: {base}", base), 6: (f"MY_VERY_LONG_ACCESS_KEY={key}", key),
+    }
+    rows = docs(spark, [(i, t) for i, (t, _) in want.items()])
+    got = {(r.doc_id, r.value): r for r in S.weak_labels(S.findings(rows)).collect()}
+    text = {i: t for i, (t, _) in want.items()}
+    assert all(text[i][r.start : r.end] == v for (i, v), r in got.items())
+    assert {(i, v) for i, (_, v) in want.items()} <= set(got)
+    assert {i for (i, v), r in got.items() if r.label == 1 and v == want[i][1]} == {1, 2, 3, 5, 6}
+    only = S.scan(rows.where("doc_id IN (1, 2, 5)")).collect()
+    assert {(r.doc_id, r.is_secret) for r in only} == {(1, True), (2, True), (5, True)} and len(only) == 3
+
+
+def test_long_runs_and_dots(spark):
+    texts = ["a1" * 100_000, "b1." * 100_000 + "c", "w. " * 50_000 + "password=" + "x9!" * 50_000]
+    got = {r.doc_id: r.end - r.start for r in S.findings(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: 200_000, 1: 300_001, 2: 150_000}
