@@ -6,7 +6,7 @@ the next one. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.registry import Registry
@@ -21,26 +21,28 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, labels), score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
-def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document whose id names the group, once; NULL ids are left alone."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return _one_per_id(chosen).unionByName(docs.where("doc_id IS NULL"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a written key of each row, and its name: ids may be NULL or repeat."""
+    key = fresh(docs, "row")
+    return saved(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def _one_per_id(docs: DataFrame) -> DataFrame:
-    """Rows that repeat an id are near copies if they are here; the smallest text stays."""
-    nth = fresh(docs, "nth")
-    order = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    return docs.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest id, once; a NULL id only if there is no other."""
+    rows, key = _keyed(docs)
+    place = fresh(rows, "place")
+    placed = rows.withColumn(place, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("row")))
+    groups = simhash.near_duplicates(placed, id_col=place)
+    first = groups.select(F.col("component_id.row").alias(key)).distinct()
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = saved(decontaminate.leaks(docs, benchmark).select("doc_id").distinct(), "leaked")
-    return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.doc_id), "left_anti")
+    rows, key = _keyed(docs)
+    leaked = decontaminate.leaks(rows, benchmark, id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(saved(leaked, "leaked"), key, "left_anti").select(*docs.columns)
 
 
 def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

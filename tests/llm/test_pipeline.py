@@ -56,3 +56,22 @@ def test_odd_documents(spark):
         assert stage(spark, odd.where("false"), SF).count() == 0, name
     assert ids(C.keep_one_of_near_copies(spark, odd, SF)).count(3) == 1
     assert C.deal_shards(spark, odd, SF).count() == len(rows)
+
+
+def test_rows_with_null_and_repeated_ids(spark, docs):
+    """A row stands or falls by its own text, whatever its id and the rows that share it."""
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    half = item.index(" ", len(item) // 2)
+    clean = "a few clean words about nothing that was ever asked anywhere"
+    texts = [(None, item), (None, clean), (None, item[: half + 40]), (None, item[half - 40 :]), (7, item), (7, clean)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in C.drop_leaks(spark, rows, SF).collect()]
+    assert sorted(got, key=str) == sorted((x for x in texts if x[1] != item), key=str)
+
+    one, two, three = (r.text for r in docs.where("length(text) > 200").orderBy("doc_id").limit(3).collect())
+    prints = {r.fingerprint for r in simhash.near_duplicates(docs.where(docs.text.isin(one, two, three))).collect()}
+    assert len(prints) == 3
+    one, two = sorted((one, two), reverse=True)
+    rows = [(5, one), (5, two), (3, two), (None, three), (None, three), (None, two)]
+    got = C.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, one), (3, two), (None, three)], key=str)
