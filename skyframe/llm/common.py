@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyframe.session import scratch_path
@@ -52,3 +52,37 @@ def hash_sample(df: DataFrame, limit: int, *columns: str) -> DataFrame:
     place = F.xxhash64(*columns)
     low = F.shiftrightunsigned(place, 11) * F.lit(2.0**-53) < share
     return df.where(low).orderBy(F.shiftrightunsigned(place, 11), *columns).limit(limit)
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], position: str = "pos", size: str = "n") -> DataFrame:
+    """``rows`` with the gapless place of each in its group, from 0, and the size of the group.
+
+    NULLs come first; rows that are equal in ``order`` stand in the order of their reading. Rows are put
+    in order by ranges, so a group is spread over as many tasks as it has ranges, and only the counts of
+    the ranges are summed up along a group. Written to the shared folder twice: before the ranges are
+    sampled, and in order. Groups must not be NULL.
+    """
+    at, part, first, before = (fresh(rows, c) for c in ("at", "part", "first", "before"))
+    rows = saved(rows, "unranked").withColumn(at, F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(group, *order, at).sortWithinPartitions(group, *order, at)
+    # The upper bits of a row number are the partition, the lower ones the place in it.
+    placed = saved(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked").withColumn(part, F.shiftright(at, 33))
+    along = Window.partitionBy(group)
+    counts = placed.groupBy(group, part).agg(F.min(at).alias(first), F.count("*").alias(size))
+    counts = counts.select(
+        group,
+        part,
+        first,
+        F.coalesce(F.sum(size).over(along.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before),
+        F.sum(size).over(along).alias(size),
+    )
+    rows = placed.join(counts, [group, part]).withColumn(position, F.col(before) + F.col(at) - F.col(first))
+    return rows.drop(at, part, first, before)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a short ASCII text, which DuckDB has no function for."""
+    bits = "lambda r, k: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    codes = f"[ord(x)::BIGINT FOR x IN string_split({text}, '')]"
+    step = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bits})"
+    return f"xor(list_reduce([4294967295] || {codes}, {step}), 4294967295)"

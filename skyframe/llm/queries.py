@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from checks.registry import Registry
-from skyframe.llm import decontaminate, exact_dedup, mixing, pii, preference, quality, secrets, sharding, simhash, url_filter
+from skyframe.llm import (
+    decontaminate,
+    exact_dedup,
+    manifest,
+    mixing,
+    pii,
+    preference,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    url_filter,
+)
 
 registry = Registry()
 
@@ -91,3 +103,9 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     documents, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
     return quality.score_documents(documents, labels)
+
+
+@registry.query("op12_merkle_manifest", manifest.ORACLE)
+def op12(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return manifest.checked(manifest.manifest(documents, presented={"text": manifest.tampered_text()}))
