@@ -14,6 +14,7 @@ from skyframe.llm import (
     secrets,
     sharding,
     simhash,
+    trie,
     url_filter,
 )
 
@@ -109,3 +110,9 @@ def op10(spark, sf_dir):
 def op12(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return manifest.checked(manifest.manifest(documents, presented={"text": manifest.tampered_text()}))
+
+
+@registry.query("op13_prefix_trie", trie.ORACLE)
+def op13(spark, sf_dir):
+    own = trie.ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie.prefix_trie(*trie.rebuilt(own))
