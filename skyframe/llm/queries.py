@@ -16,6 +16,7 @@ from skyframe.llm import (
     simhash,
     trie,
     url_filter,
+    warc,
 )
 
 registry = Registry()
@@ -106,6 +107,11 @@ def op10(spark, sf_dir):
     return quality.score_documents(documents, labels)
 
 
+@registry.query("op11_warc", warc.ORACLE)
+def op11(spark, sf_dir):
+    return warc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @registry.query("op12_merkle_manifest", manifest.ORACLE)
 def op12(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
