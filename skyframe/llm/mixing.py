@@ -15,9 +15,8 @@ the same documents on any cluster.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skyframe.llm.common import key_of, saved, text_or_empty
@@ -64,8 +63,8 @@ def cell_table(features: DataFrame) -> DataFrame:
 def tempered(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
     """``key, share``: the observed shares to the power of ``exponent``, which evens them out, normalised."""
     sums = cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(exponent)).alias("raised"))
-    total = sums.agg(F.sum("raised").alias("total"))
-    return sums.join(F.broadcast(total)).select(F.col(dimension).alias("key"), (F.col("raised") / F.col("total")).alias("share"))
+    total = sums.agg(F.sum("raised")).first()[0]
+    return sums.select(F.col(dimension).alias("key"), (F.col("raised") / F.lit(total)).alias("share"))
 
 
 def rake(
@@ -75,65 +74,69 @@ def rake(
 
     ``targets`` has ``key, share`` for some of the dimensions. Keys without a target keep their tokens'
     proportion among themselves and share what the targets leave of 1; keys without cells are ignored
-    and the shares normalised. Sweeps end at ``tolerance``, or at ``max_sweeps`` where targets
-    contradict each other, as they do if the only cells of a source are those of a language with target zero.
+    and the shares normalised. Sweeps end at ``tolerance``, or, where targets contradict each other, once the
+    gaps that a sweep meets are those of the sweep before, and at ``max_sweeps``. They contradict each other
+    if, say, the only cells of a source are those of a language with target zero.
+
+    Each scaling to one dimension is a written step of its own, so that a plan never holds more than one.
+    Tables are read in one partition for each ``CELLS_A_TASK`` cells, where a table of one partition needs
+    no exchange; the rows are the same for any number of them.
     """
     total, rows = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
-    # A table of one partition needs no exchange for its sums and joins; larger ones shuffle as usual.
     tasks = max(1, math.ceil(rows / CELLS_A_TASK))
     table = cells.withColumn("weight", F.lit(1.0)).coalesce(tasks)
     if not total or not targets:
         return table, 0.0
-    # Joined by merge, not broadcast: many small broadcasts would pile up on the driver.
     aims = {d: f"wanted_{d}" for d in targets}
     for dimension, target in targets.items():
         wanted = _wanted(cells, dimension, target, total).withColumnRenamed("wanted", aims[dimension])
-        table = table.join(wanted.hint("merge"), dimension)
-    table = saved(table, "targets").coalesce(tasks)
-    worst = float("inf")
+        table = saved(table.join(wanted.coalesce(tasks).hint("shuffle_hash"), dimension), "targets").coalesce(tasks)
+    worst, before = float("inf"), float("inf")
     for sweep in range(1, max_sweeps + 1):
-        table = saved(_swept(table, aims), "raked").coalesce(tasks)
-        # The gaps that the sweep met are cheap to read; what it left is measured once they are small.
-        met = table.agg(*(F.max(f"gap_{d}") for d in aims)).first()
-        if max(met, default=0.0) <= tolerance * total or sweep == max_sweeps:
+        met = 0.0
+        for dimension, aim in aims.items():
+            # The gap that a scaling meets comes with its rows; what the sweep left is measured once it is small.
+            seen = Observation()
+            scaled = _scaled(table, dimension, aim).observe(seen, F.max("gap").alias("gap"))
+            table = saved(scaled.drop("gap"), "raked").coalesce(tasks)
+            met = max(met, seen.get["gap"] or 0.0)
+        settled = abs(met - before) <= 1e-3 * tolerance * total
+        before = met
+        if met <= tolerance * total or settled or sweep == max_sweeps:
             worst = _widest_gap(table, aims) / total
-            if worst <= tolerance:
+            if settled or worst <= tolerance:
                 break
     return table.select(*cells.columns, "weight"), worst
 
 
-def _swept(table: DataFrame, aims: dict[str, str]) -> DataFrame:
-    """Weights scaled to one dimension after the other, and in ``gap_*`` what each was off before."""
-    for dimension, aim in aims.items():
-        sums = table.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
-        factor = F.when(F.col("mass") > 0, F.col(aim) / F.col("mass")).otherwise(0.0)
-        table = table.join(sums.hint("merge"), dimension).withColumns(
-            {"weight": F.col("weight") * factor, f"gap_{dimension}": F.abs(F.col("mass") - F.col(aim))}
-        ).drop("mass")
-    return table
+def _scaled(table: DataFrame, dimension: str, aim: str) -> DataFrame:
+    """Weights scaled to the targets of one dimension, and in ``gap`` what its keys were off before."""
+    sums = table.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
+    factor = F.when(F.col("mass") > 0, F.col(aim) / F.col("mass")).otherwise(0.0)
+    # Sums have one row for each key; joined by hash, for a broadcast would pass through the driver each time.
+    rows = table.join(sums.hint("shuffle_hash"), dimension)
+    return rows.withColumns({"weight": F.col("weight") * factor, "gap": F.abs(F.col("mass") - F.col(aim))}).drop("mass")
 
 
 def _widest_gap(table: DataFrame, aims: dict[str, str]) -> float:
     """The largest difference between the weighted tokens of a key and what it shall have."""
     mass = F.sum(F.col("tokens") * F.col("weight"))
-    gaps = [table.groupBy(d).agg(F.abs(mass - F.first(aim)).alias("gap")).select("gap") for d, aim in aims.items()]
-    return reduce(DataFrame.unionByName, gaps).agg(F.max("gap")).first()[0] or 0.0
+    gaps = [table.groupBy(d).agg(F.abs(mass - F.first(aim)).alias("gap")).agg(F.max("gap")).first()[0] for d, aim in aims.items()]
+    return max((g for g in gaps if g is not None), default=0.0)
 
 
 def _wanted(cells: DataFrame, dimension: str, target: DataFrame, total: int) -> DataFrame:
     """``dimension, wanted``: the tokens that each key shall have."""
     sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
     target = target.groupBy(F.col("key").alias(dimension)).agg(F.max("share").alias("share"))
-    rows = sums.join(target, dimension, "left")
-    left = rows.agg(
-        F.coalesce(F.sum("share"), F.lit(0.0)).alias("given"),
-        F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("tokens"))), F.lit(0)).alias("rest"),
-    )
-    given, rest = F.col("given"), F.col("rest")
-    open_share = F.greatest(1 - given, F.lit(0.0)) * F.col("tokens") / F.when(rest > 0, rest)
-    whole = given + F.when(rest > 0, F.greatest(1 - given, F.lit(0.0))).otherwise(0.0)
-    share = F.coalesce("share", open_share) / F.when(whole > 0, whole)
-    return rows.join(F.broadcast(left)).select(dimension, (F.coalesce(share, F.lit(0.0)) * total).alias("wanted"))
+    rows = saved(sums.join(target, dimension, "left"), "wanted")
+    given, rest = rows.agg(
+        F.coalesce(F.sum("share"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("tokens"))), F.lit(0))
+    ).first()
+    left = max(1.0 - given, 0.0) if rest else 0.0
+    share = F.coalesce(F.col("share"), F.col("tokens") * F.lit(left / max(rest, 1)))
+    whole = given + left
+    return rows.select(dimension, (share * F.lit(total / whole if whole else 0.0)).alias("wanted"))
 
 
 def probabilities(cells: DataFrame, keep_share: float) -> DataFrame:
@@ -164,12 +167,12 @@ def drawn(probability: Column, seed: int, id_col: str = "doc_id") -> Column:
 
 
 def calibrated_cells(features: DataFrame, exponent: float, keep_share: float, topic_shares: dict[str, float]) -> DataFrame:
-    """``source_key, lang_key, topic, tokens, weight, probability`` for tempered sources and languages."""
+    """``source_key, lang_key, topic, tokens, weight, probability, margin_gap`` for tempered sources and languages."""
     cells = cell_table(features)
     shares = features.sparkSession.createDataFrame(list(topic_shares.items()), "key string, share double")
     targets = {d: tempered(cells, d, exponent) for d in DIMENSIONS[:2]} | {"topic": shares}
-    raked, _ = rake(cells, targets)
-    return saved(probabilities(raked, keep_share), "calibrated")
+    raked, gap = rake(cells, targets)
+    return saved(probabilities(raked, keep_share).withColumn("margin_gap", F.lit(gap)), "calibrated")
 
 
 #: Production targets: sources and languages are evened out, and legal lines and tables held down.
@@ -183,9 +186,11 @@ def mix(
     topic_shares: dict[str, float] | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, lang, topic, n_tokens, weight, probability, kept``.
+    """One row per document: ``doc_id, source, lang, topic, n_tokens, weight, probability, kept, margin_gap``.
 
-    ``weight`` is what a token of the document's cell counts after raking (1: as before), and
+    ``margin_gap`` is the share of all tokens by which the worst margin misses its target: next to nothing,
+    unless targets contradict each other, as those of sources and languages do where each source has but
+    one language. NULL for documents in no cell. ``weight`` is what a token of the document's cell counts after raking (1: as before), and
     ``kept`` whether the document is drawn. Documents without tokens (NULL or blank texts) are in no
     cell: weight and probability zero, never drawn. NULL sources and languages are keys of their own.
     Other columns are ignored.
@@ -205,6 +210,7 @@ def mix(
         F.when(known, F.coalesce("weight", F.lit(0.0))).otherwise(0.0).alias("weight"),
         probability.alias("probability"),
         drawn(probability, seed).alias("kept"),
+        F.when(known, F.col("margin_gap")).alias("margin_gap"),
     )
 
 

@@ -132,3 +132,12 @@ def test_odd_rows(spark):
 )
 def test_topics(spark, text, topic):
     assert spark.createDataFrame([(text,)], "t string").select(M.topic_of(F.col("t"))).first()[0] == topic
+
+
+def test_targets_that_contradict_show_in_the_result(spark):
+    """Each source has one language, so tempered sources and languages cannot both hold."""
+    rows = [(k, "some plain words here", ["en", "en", "de"][k % 10 // 4], ["a", "b", "c"][k % 10 // 4]) for k in range(200)]
+    gaps = {r.margin_gap for r in M.mix(frame(spark, rows)).collect()}
+    assert len(gaps) == 1 and 0.001 < gaps.pop() < 0.2
+    agreed = [(k, "some plain words here", ["en", "de"][k % 2], ["a", "b"][k % 4 // 2]) for k in range(200)]
+    assert all(r.margin_gap <= 1e-6 for r in M.mix(frame(spark, agreed)).collect())
