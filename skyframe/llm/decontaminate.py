@@ -7,9 +7,8 @@ A window counts only if at least three of its words are no slots. Texts of fewer
 one window of their own length. In scripts that set no blanks every character is a word.
 
 Beside its typed form a window has a literal one, its lower-case words without types, in the same join;
-a window is found in either form. So it does not matter which capitals a copy has kept, but for texts
-without any small letter, whose literal forms only meet items written alike. Items without a window of
-three plain words are found where all their words stand one after another.
+a window is found in either form. So it does not matter which capitals a copy has kept or gained. Items
+without a window of three plain words are found where all their words stand one after another.
 
 A re-parameterised question has the same template with other values, used alike: whatever fills a
 slot of the item in one place must fill it in all places of that occurrence. Where it does not, the
@@ -43,8 +42,6 @@ _AFTER_MARKS = "\ue003"
 
 #: Scripts without blanks: Thai, Lao, Burmese, Khmer, Kana and Han.
 _UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}]"
-#: Words that an item needs to be looked for at all.
-LEAST_WORDS = 3
 
 # Units that are recognised after a number.
 UNITS = (
@@ -110,14 +107,9 @@ def _window(codes: Column, at: Column) -> Column:
     return F.when(plain >= MIN_LITERALS, F.xxhash64(*parts))
 
 
-def _literal_window(literals: Column, at: Column, capitals: Column) -> Column:
-    """The hash of the literal window that begins ``at``; another one in texts without small letters."""
-    parts = [F.get(literals, at + k) for k in range(WINDOW)]
-    return F.when(capitals, F.xxhash64(*parts, F.lit(1))).otherwise(F.xxhash64(*parts))
-
-
-def _in_capitals(text: Column) -> Column:
-    return text.rlike(r"\p{Lu}") & ~text.rlike(r"\p{Ll}")
+def _literal_window(literals: Column, at: Column) -> Column:
+    """The hash of the literal window that begins ``at``."""
+    return F.xxhash64(*(F.get(literals, at + k) for k in range(WINDOW)))
 
 
 def _starts(codes: Column) -> Column:
@@ -138,28 +130,26 @@ def _slots(words: Column, at: Column) -> Column:
 
 
 def _coded(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep.., capitals, codes, literals, slot_starts`` of the columns ``words`` and ``capitals``."""
+    """``keep.., codes, literals, slot_starts`` of the column ``words``."""
     # One projection for each step: inside one expression the words would be cut out anew at each use.
-    rows = rows.select(*keep, "capitals", _codes(F.col("words")).alias("codes"), _literal_codes(F.col("words")).alias("literals"))
+    rows = rows.select(*keep, _codes(F.col("words")).alias("codes"), _literal_codes(F.col("words")).alias("literals"))
     return rows.withColumn("slot_starts", _slot_starts(F.col("codes")))
 
 
 def _both_forms(make) -> Column:
     """``make(at, window)`` for each typed window and for each literal one that holds a slot."""
     typed = F.transform(_starts(F.col("codes")), lambda at: make(at, _window(F.col("codes"), at)))
-    literal = lambda at: make(at, _literal_window(F.col("literals"), at, F.col("capitals")))
+    literal = lambda at: make(at, _literal_window(F.col("literals"), at))
     return F.concat(typed, F.transform("slot_starts", literal))
 
 
 def benchmark_templates(
     benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """``template, item_id`` and ``template, words, capitals``; items with the same words share a template."""
-    text = text_or_empty(text_col)
-    items = benchmark.select(F.col(id_col).alias("item_id"), _words(text).alias("words"), _in_capitals(text).alias("capitals"))
-    shapes = items.select("words", "capitals").distinct().withColumn("template", F.monotonically_increasing_id())
-    shapes = saved(shapes, "templates")
-    return items.join(shapes, ["words", "capitals"]).select("template", "item_id").distinct(), shapes
+    """``template, item_id`` and ``template, words``; items with the same words share a template."""
+    items = benchmark.select(F.col(id_col).alias("item_id"), _words(text_or_empty(text_col)).alias("words"))
+    shapes = saved(items.select("words").distinct().withColumn("template", F.monotonically_increasing_id()), "templates")
+    return items.join(shapes, "words").select("template", "item_id").distinct(), shapes
 
 
 def benchmark_windows(templates: DataFrame) -> DataFrame:
@@ -174,24 +164,21 @@ def benchmark_windows(templates: DataFrame) -> DataFrame:
         "template",
         "item_at",
         _window(F.col("codes"), at).alias("typed"),
-        _literal_window(literals, at, F.lit(False)).alias("folded"),
-        F.when(F.col("capitals"), _literal_window(literals, at, F.lit(True))).alias("in_capitals"),
+        _literal_window(literals, at).alias("folded"),
         _slots(F.col("words"), at).alias("item_slots"),
-        (F.size("words") >= LEAST_WORDS).alias("long_enough"),
     )
     rows = saved(rows, "benchmark-places")
     whole = rows.groupBy("template").agg(F.count("typed").alias("n_typed"))
     rows = rows.join(whole, "template").withColumn("exact", F.col("n_typed") == 0)
-    rows = rows.where(F.when(F.col("exact"), F.col("long_enough")).otherwise(F.col("typed").isNotNull()))
+    rows = rows.where(F.col("exact") | F.col("typed").isNotNull())
     unit = F.when(F.col("exact"), F.col("folded")).otherwise(F.col("typed")).alias("unit")
     slots = F.when(~F.col("exact"), F.col("item_slots")).otherwise(F.array().cast("array<string>")).alias("item_slots")
-    forms = [("typed", False), *((c, True) for c in ("folded", "in_capitals"))]
     # Without a slot both forms are one.
     parts = [
         rows.where(F.col(c).isNotNull() & (~F.lit(literal) | F.col("exact") | (F.size("item_slots") > 0))).select(
             F.col(c).alias("window"), "template", unit, "item_at", slots, F.lit(literal).alias("literal"), "exact"
         )
-        for c, literal in forms
+        for c, literal in (("typed", False), ("folded", True))
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -238,9 +225,10 @@ def leaks(
     """``doc_id, item_id, n_windows, n_found, similarity`` for every document that holds an item.
 
     ``n_windows`` are the distinct windows of the item and ``n_found`` those of them that the document
-    has. Items without a window of three plain words must be there word by word, and those of fewer than
-    three words tell nothing and are never found; NULL texts count as empty and hold nothing. Rows that repeat an id count as parts of one document, NULL ids as one
-    document with a NULL id. Other columns are ignored.
+    has. Items without a window of three plain words must be there word by word, those of fewer words than
+    a window as the whole document. Capitals make no difference to literal windows. NULL texts count as
+    empty and hold nothing. Rows that repeat an id, NULL ids too, stand each for itself: they give a row
+    each, or one if their texts are equal. Other columns are ignored.
     """
     of_items, templates = benchmark_templates(benchmark)
     items = saved(benchmark_windows(templates), "benchmark-windows")
@@ -252,9 +240,11 @@ def leaks(
     enough = F.col("n_found") >= F.ceil(share * F.col("n_windows") - 1e-9)
     by_place = (F.size("item_slots") > 0) | F.col("exact")
 
-    # Inside a struct a NULL id is equal to itself, also as a key of the joins below.
-    texts = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("doc"), text_or_empty(text_col).alias("text"))
-    worded = texts.select("doc", _in_capitals(F.col("text")).alias("capitals"), _words(F.col("text")).alias("words"))
+    # Inside a struct a NULL id is equal to itself, also as a key of the joins below; the text parts rows of one id.
+    text = text_or_empty(text_col)
+    worded = docs.select(
+        F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key")).alias("doc"), _words(text).alias("words")
+    )
     found = _coded(worded, "doc").select("doc", F.explode(_both_forms(lambda at, window: window)).alias("window"))
     found = found.where("window IS NOT NULL")
     found = _meet(found, items.select("window", "template", "unit", by_place.alias("by_place")).distinct(), slices)

@@ -46,8 +46,9 @@ def test_leaks_and_lookalikes(spark):
     by_item = defaultdict(set)
     for doc, item in got:
         by_item[item].add(doc)
-    assert by_item[1] == {1, 2, 3, 10, 11, 12, None}
-    assert by_item[1] == by_item[2] == by_item[3]
+    # In capitals the literal windows are left, which are those of the item itself.
+    assert by_item[1] == by_item[2] == {1, 2, 3, 6, 10, 11, 12, None}
+    assert by_item[3] == by_item[1] - {6}
     assert by_item[4] == {4, 10}
     assert by_item[7] == {2, 3, 4, 5, 10}
     assert set(by_item) == {1, 2, 3, 4, 7}
@@ -104,11 +105,11 @@ def test_short_texts_are_one_window(spark):
     assert set(got) == {(1, 1), (4, 3)}
 
 
-def test_repeated_ids_are_parts_of_one_document(spark):
+def test_repeated_ids_stand_each_for_itself(spark):
     half = len(ITEM) // 2
     cut = ITEM.index(" ", half)
-    got = found(spark, [(1, ITEM[:cut]), (1, ITEM[cut - 40 :]), (2, ITEM[:cut])], [(1, ITEM)])
-    assert set(got) == {(1, 1)}
+    got = found(spark, [(1, ITEM[:cut]), (1, ITEM[cut - 40 :]), (2, ITEM[:cut]), (3, ITEM), (3, ITEM), (3, FILL)], [(1, ITEM)])
+    assert set(got) == {(3, 1)}
 
 
 @pytest.mark.parametrize("rows, items", [([], [(1, ITEM)]), ([(1, ITEM)], []), ([], [])])
@@ -135,3 +136,16 @@ def test_against_a_plain_search(spark):
     assert set(got) == set(want) and len(want) > 20
     # The first word of a passage that stands inside a sentence passes for a name: up to one window less.
     assert all(n == want[k][0] and 0 <= want[k][1] - m <= 1 for k, (n, m) in got.items())
+
+
+def test_capitals_and_rows_of_one_id(spark):
+    """Copies in capitals are found wherever they stand; halves of an item in two rows of one id are not a copy."""
+    story = "The old lighthouse keeper told his sister Margaret about the storm that sank three ships in November"
+    half = story.index(" about")
+    rows = [
+        (1, story), (2, story.lower()), (3, story.upper()), (4, f"QUIZ: {story.upper()} END"), (5, f"{FILL}. {story.upper()} {FILL}"),
+        (6, story[:half]), (6, story[half:]), (None, story[:half]), (None, story[half:]), (7, FILL), (7, story), (8, "Bob 12"), (9, "bob 13"),
+    ]
+    got = found(spark, rows, [(1, story), (2, "Bob 12")])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 1), (8, 2)}
+    assert all(r.similarity == 1 for r in got.values())
