@@ -14,6 +14,7 @@ from checks.match_queries import DEPROJECT, matches, wcs_images
 from checks.registry import Registry
 from checks.search_queries import images
 from skyframe.operators import stats
+from skyframe.operators.matches import wcs_choice
 from skyframe.plans import ingest
 from skyframe.session import scratch_path
 from skyframe.sources import catalogs, exports, headers, sidecars
@@ -495,6 +496,98 @@ def a10(spark, sf_dir):
     return sidecars.choose_sidecar(table_, disk, "file_path")
 
 
+# --- solutions out of sidecars of every kind ---------------------------------------------------------
+
+
+def _sidecar_path(ext: str) -> Column:
+    return F.concat(F.lit("/data/s/f"), key().cast("string"), F.lit(ext))
+
+
+def sidecar_archive(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Image headers, the inventory, and headers and texts of the sidecars beside every image.
+
+    Each second image has a ``.wcs``, each third a ``.new`` and each fifth an ``.ini``; each eleventh
+    has a WCS of its own, and each seventh sidecar header is of another projection.
+    """
+    orders = table(spark, sf_dir, "orders").repartition(16, "o_orderkey")
+    number = lambda value: F.lpad(value.cast("string"), 20, " ")
+    text = lambda value: F.rpad(F.concat(F.lit("'"), value, F.lit("'")), 20, " ")
+    kind = F.when(key() % 7 == 0, "GLON-CAR").otherwise("RA---TAN")
+    block = _header_block(
+        _card("SIMPLE", number(F.lit("T"))), _card("BITPIX", number(F.lit(8))), _card("NAXIS", number(F.lit(0))),
+        _card("NAXIS1", number(F.lit(4000))), _card("NAXIS2", number(F.lit(3000))),
+        _card("CTYPE1", text(kind)), _card("CTYPE2", text(F.lit("DEC--TAN"))),
+        _card("CRVAL1", number(key() % 360 + 0.5)), _card("CRVAL2", number(key() % 120 - 60)),
+        _card("CRPIX1", number(2001 - key() % 5)), _card("CRPIX2", number(1501 - key() % 3)),
+        *(_card(k, number(F.lit(v))) for k, v in (("CD1_1", -0.0004), ("CD1_2", 0.0001), ("CD2_1", 0.0001), ("CD2_2", 0.0004))),
+        F.rpad(F.lit("COMMENT of the solver"), 80, " "),
+    )
+    ini = F.concat(F.lit("[Field]\nra="), (key() % 360).cast("string"), F.lit("\ndec=5\nradius=2.5\npixscale=1.5\n"))
+    wide = orders.select(
+        key().alias("id"),
+        *(F.when(key() % n == 0, _sidecar_path(e)).alias(e[1:]) for n, e in ((2, ".wcs"), (3, ".new"), (5, ".ini"))),
+        F.encode(block, "ISO-8859-1").alias("content"),
+        ini.alias("text"),
+    )
+    wide = headers.pinned(wide, "pinned", F.col("content")).drop("content").withColumnRenamed("pinned", "content")
+    inventory = wide.select(F.explode(F.array_compact(F.array("wcs", "new", "ini"))).alias("path"))
+    cards = wide.select(F.explode(F.array_compact(F.array("wcs", "new"))).alias("path"), "content")
+    texts = wide.where("ini IS NOT NULL").select(F.col("ini").alias("path"), "text")
+    plain = F.create_map(F.lit("NAXIS1"), F.lit("100"), F.lit("NAXIS2"), F.lit("80"), F.lit("GAIN"), (key() % 300).cast("string"))
+    solved = F.map_concat(plain, F.create_map(F.lit("RA"), F.lit("12.5"), F.lit("DEC"), F.lit("-3.5")))
+    own = orders.select(key().alias("id"), _sidecar_path(".fits").alias("path"), F.when(key() % 11 == 0, solved).otherwise(plain).alias("raw_header"))
+    return own, inventory, headers.fits_headers(cards), texts
+
+
+def sidecar_images(spark, sf_dir) -> DataFrame:
+    own, inventory, cards, texts = sidecar_archive(spark, sf_dir)
+    chosen = sidecars.choose_sidecar(own, inventory)
+    found = sidecars.sidecar_solutions(chosen, cards, texts)
+    return ingest.header_images(own.join(found, "path", "left"), sidecar_col="sidecar")
+
+
+_SIDECARS = """WITH kinds AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'wcs' WHEN o_orderkey % 3 = 0 THEN 'new'
+  WHEN o_orderkey % 5 = 0 THEN 'ini' END AS kind, o_orderkey % 11 = 0 AS own FROM orders
+), angles AS (
+  SELECT *, radians(-0.0004 * (id % 5) + 0.0001 * (id % 3)) AS xi, radians(0.0001 * (id % 5) + 0.0004 * (id % 3)) AS eta,
+    id % 360 + 0.5 AS ra0, radians(id % 120 - 60) AS dec0, NOT own AND kind IN ('wcs', 'new') AND id % 7 <> 0 AS by_wcs,
+    NOT own AND kind = 'ini' AS by_ini
+  FROM kinds
+)"""
+
+
+@registry.query(
+    "k2_sidecar_solutions",
+    _SIDECARS + """ SELECT id, '/data/s/f' || id || '.' || kind AS sidecar_path,
+  CASE WHEN own THEN 'HEADER' WHEN by_wcs OR by_ini THEN 'SIDECAR' END AS source, own OR coalesce(by_wcs OR by_ini, false) AS solved,
+  round_even(CASE WHEN own THEN 12.5 WHEN by_ini THEN id % 360
+    WHEN by_wcs THEN (ra0 + degrees(atan2(xi, cos(dec0) - eta * sin(dec0))) + 360) % 360 END::double, 6) AS ra_center,
+  round_even(CASE WHEN own THEN -3.5 WHEN by_ini THEN 5
+    WHEN by_wcs THEN degrees(atan2(sin(dec0) + eta * cos(dec0), sqrt(xi * xi + pow(cos(dec0) - eta * sin(dec0), 2)))) END::double, 6) AS dec_center,
+  CASE WHEN by_ini THEN 2.5 WHEN own THEN 1.0 END::double AS radius, CASE WHEN by_ini THEN 1.5 WHEN by_wcs OR own THEN 0 END::double AS pixel_scale
+FROM angles""",
+)
+def k2_sidecars(spark, sf_dir):
+    return sidecar_images(spark, sf_dir).select(
+        "id", "sidecar_path", F.col("plate_solve_source").alias("source"), F.col("is_plate_solved").alias("solved"),
+        F.bround("ra_center_degrees", 6).alias("ra_center"), F.bround("dec_center_degrees", 6).alias("dec_center"),
+        F.col("field_radius_degrees").alias("radius"), F.col("pixel_scale_arcsec").alias("pixel_scale"),
+    )
+
+
+@registry.query(
+    "d10_sidecar_wcs",
+    _SIDECARS + """ SELECT id, CASE WHEN by_wcs THEN 'SOLVER_HEADER' WHEN own OR by_ini THEN 'COLUMNS' END AS origin,
+  CASE WHEN by_wcs THEN ra0 WHEN own THEN 12.5 WHEN by_ini THEN id % 360 END::double AS ra0,
+  CASE WHEN by_wcs THEN 2001 - id % 5 WHEN own OR by_ini THEN 50 END::double AS crpix1 FROM angles""",
+)
+def d10_sidecars(spark, sf_dir):
+    """The header of a sidecar is what overlays of its image are drawn with."""
+    rows = sidecar_images(spark, sf_dir).withColumns({"rotation_degrees": F.coalesce("rotation_degrees", F.lit(0.0)), "parity": F.lit(1)})
+    wcs = rows.select("id", wcs_choice(rows).alias("wcs"))
+    return wcs.select("id", "wcs.origin", "wcs.ra0", "wcs.crpix1")
+
+
 @registry.query(
     "a11_xmp_ratings",
     duck("images") + "SELECT file_path AS path, (CASE WHEN id % 3 = 0 AND id % 7 <= 5 THEN id % 7 ELSE"

@@ -250,10 +250,17 @@ def solution_columns(wcs: Column, sidecar: Column | None = None) -> dict[str, Co
 
 
 def header_images(headers: DataFrame, map_col: str = "raw_header", sidecar_col: str | None = None):
-    """Complete image rows from (path, header map): typed columns and solution."""
+    """Complete image rows from (path, header map): typed columns and solution.
+
+    With a sidecar column its solution counts where the header has none; a ``wcs_header`` that came with
+    it is kept for those rows only.
+    """
     rows = canonical_header(header_wcs(headers, map_col), map_col)
     sidecar = F.col(sidecar_col) if sidecar_col else None
-    return rows.withColumns(solution_columns(F.col("wcs"), sidecar)).drop("wcs")
+    rows = rows.withColumns(solution_columns(F.col("wcs"), sidecar))
+    if sidecar_col and "wcs_header" in rows.columns:
+        rows = rows.withColumn("wcs_header", F.when(F.col("wcs").isNull(), F.col("wcs_header")))
+    return rows.drop("wcs")
 
 
 # --- EXIF ----------------------------------------------------------------------------------------

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyframe.sources.ranged import RANGE_BYTES, RangedFile
+
 CARD, BLOCK = 80, 2880
 # Keywords that occur many times; their texts are joined by line breaks.
 ACCUMULATING = ("COMMENT", "HISTORY")
@@ -194,35 +196,41 @@ def _data_bytes(cards: list[str]) -> int:
     return -(-size // BLOCK) * BLOCK
 
 
-def _cards_of(path: str) -> tuple[list[str] | None, str | None]:
-    """The cards of a file and what was wrong with it; a damaged file does not end the job."""
-    cards = None
+def cards_of(path: str, range_bytes: int = RANGE_BYTES) -> tuple[list[str] | None, str | None, int]:
+    """The cards of a file, what was wrong with it, and the bytes that were fetched.
+
+    A damaged file does not end the job.
+    """
+    cards, fetched = None, 0
     try:
-        with open(path, "rb") as file:
-            if not file.read(9).startswith(SIGNATURE):
-                return None, "not a FITS file"
-            file.seek(0)
-            cards = _read_header(file)
-            if cards is None:
-                return None, "no END card"
-            if len(cards) < FEW_CARDS:
-                file.seek(_data_bytes(cards), os.SEEK_CUR)
-                cards = _read_header(file) or cards
+        with RangedFile(path, range_bytes) as file:
+            try:
+                if not file.read(9).startswith(SIGNATURE):
+                    return None, "not a FITS file", file.bytes_read
+                file.seek(0)
+                cards = _read_header(file)
+                if cards is None:
+                    return None, "no END card", file.bytes_read
+                if len(cards) < FEW_CARDS:
+                    file.seek(_data_bytes(cards), os.SEEK_CUR)
+                    cards = _read_header(file) or cards
+            finally:
+                fetched = file.bytes_read
     except (OSError, ValueError, KeyError, OverflowError) as error:
-        return cards, f"{type(error).__name__}: {error}"
-    return cards, None
+        return cards, f"{type(error).__name__}: {error}", fetched
+    return cards, None, fetched
 
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Read only the header blocks of each file, skipping over the pixel data."""
     for batch in batches:
-        found = [_cards_of(path) for path in batch["path"]]
+        found = [cards_of(path)[:2] for path in batch["path"]]
         cards, errors = zip(*found, strict=True) if found else ((), ())
         yield pd.DataFrame({"path": batch["path"], "cards": list(cards), "error": list(errors)})
 
 
 def read_fits_headers(inventory: DataFrame) -> DataFrame:
-    """(path, error, raw_header) of FITS files on a mounted file system.
+    """(path, error, raw_header) of the FITS files named by ``path``, on any file system.
 
     Damaged and foreign files have ``error`` set and, unless the primary header could be read, no
     header.
@@ -291,7 +299,7 @@ def xisf_headers(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Whole files as bytes, for sources without a mounted file system."""
+    """Whole files as bytes, for formats without a reader of ranges."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)

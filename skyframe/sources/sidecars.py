@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.functions import geo
 from skyframe.functions.text import to_float
+from skyframe.operators.matches import header_matrix, header_value, is_tangent
+from skyframe.sources.headers import ACCUMULATING, read_fits_headers
+from skyframe.sources.ranged import read_small_texts
 
 # Sidecar extensions in order of preference.
 SIDECAR_EXTENSIONS = (".wcs", ".new", ".ini")
@@ -78,6 +82,69 @@ def ini_solution(text) -> Column:
     )
 
 
+def wcs_solution(header) -> Column:
+    """Solution struct of the header of a ``.wcs`` or ``.new`` sidecar; NULL without a tangent-plane WCS.
+
+    The centre is the sky position of the middle of the frame. Such a sidecar says nothing about scale
+    and radius in the columns: the scale is 0 and the radius NULL.
+    """
+
+    def number(key: str) -> Column:
+        return to_float(header_value(header, key))
+
+    def or_zero(key: str) -> Column:
+        return F.coalesce(number(key), F.lit(0.0))
+
+    def text(key: str) -> Column:
+        return header_value(header, key)
+
+    known = is_tangent(text) & number("CRVAL1").isNotNull() & number("CRVAL2").isNotNull()
+    center = geo.pixel_to_sky_cd(
+        or_zero("NAXIS1") / 2, or_zero("NAXIS2") / 2, number("CRVAL1"), number("CRVAL2"),
+        or_zero("CRPIX1"), or_zero("CRPIX2"), *header_matrix(number),
+    )
+    return F.when(
+        known,
+        F.struct(
+            center["ra"].alias("ra_center"),
+            center["dec"].alias("dec_center"),
+            F.lit(0.0).alias("pixel_scale"),
+            F.lit(None).cast("double").alias("radius_degrees"),
+            F.lit("SIDECAR_WCS").alias("wcs_type"),
+        ),
+    )
+
+
+def sidecar_solutions(chosen: DataFrame, headers: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, sidecar_path, sidecar, wcs_header) of images from the sidecar that was chosen for each.
+
+    ``chosen`` is as :func:`choose_sidecar` gives it, ``headers`` has (path, raw_header) of ``.wcs`` and
+    ``.new`` files, ``texts`` (path, text) of ``.ini`` files. ``sidecar`` is NULL where the chosen file gives
+    no solution, another one is not tried then; ``wcs_header`` is the whole header behind a solution,
+    without its comments, for :func:`skyframe.operators.matches.wcs_choice`.
+    """
+    headers = headers.select(F.col("path").alias("sidecar_path"), F.col("raw_header").alias("_header"))
+    texts = texts.select(F.col("path").alias("sidecar_path"), F.col("text").alias("_text"))
+    rows = chosen.join(headers, "sidecar_path", "left").join(texts, "sidecar_path", "left")
+    from_text = F.col("sidecar_path").endswith(".ini")
+    solution = F.when(from_text, ini_solution("_text")).otherwise(wcs_solution("_header"))
+    bare = F.map_filter("_header", lambda key, _: ~key.isin(*ACCUMULATING))
+    return rows.withColumn("sidecar", solution).select(
+        "path",
+        "sidecar_path",
+        "sidecar",
+        F.when(F.col("sidecar").isNotNull() & ~from_text, bare).alias("wcs_header"),
+    )
+
+
+def read_sidecars(images: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
+    """:func:`sidecar_solutions` with the chosen files read, header blocks only, on any file system."""
+    chosen = choose_sidecar(images, inventory, path)
+    named = chosen.select(F.col("sidecar_path").alias("path"))
+    texts = F.col("path").endswith(".ini")
+    return sidecar_solutions(chosen, read_fits_headers(named.filter(~texts)), read_small_texts(named.filter(texts)))
+
+
 # The forms in which editors write a rating.
 RATING_FORMS = (
     r"<xmp:Rating>(\d+)</xmp:Rating>",
