@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyframe.functions.geo import clamp
 from skyframe.operators.order_stats import order_statistics
-from skyframe.session import materialize
+from skyframe.session import written
 
 TARGET_BACKGROUND = 0.25
 SHADOWS_CLIP = -1.25
@@ -45,14 +45,17 @@ def stretch_parameters(pixels: DataFrame, key: str = "image_id", value: str = "v
     image. Clipping and rescaling keep the order of the pixels and the clip point never exceeds
     the middle values, so the median after clipping follows from the one before.
 
-    The one row per image found for the median is written out once; later passes read that.
+    The pixels are read once, for how often each value occurs in each image; range, median and
+    deviation come from these counts, which are written out.
     """
-    cleaned, ranges = _normalised(pixels, key, value)
-    unit = cleaned.join(ranges, key).select(key, _unit().alias("_v"))
-    medians = order_statistics(unit, [key], "_v", {"_median": "median"})
-    known = materialize(ranges.join(medians, key, "left"))
-    deviation = cleaned.join(known, key).select(key, F.abs(_unit() - F.col("_median")).alias("_d"))
-    spreads = order_statistics(deviation, [key], "_d", {"_mad": "median"})
+    cleaned = pixels.select(key, clean_values(value).alias("_clean"))
+    counts = written(cleaned.groupBy(key, "_clean").agg(F.count("_clean").alias("_times")), "pixel-counts")
+    ranges = counts.groupBy(key).agg(F.min("_clean").alias("_min"), F.max("_clean").alias("_max"))
+    unit = counts.join(ranges, key).select(key, _unit().alias("_v"), "_times")
+    medians = order_statistics(unit, [key], "_v", {"_median": "median"}, "_times")
+    known = written(ranges.join(medians, key, "left"), "medians")
+    deviation = counts.join(known, key).select(key, F.abs(_unit() - F.col("_median")).alias("_d"), "_times")
+    spreads = order_statistics(deviation, [key], "_d", {"_mad": "median"}, "_times")
     clip_point = F.col("_median") + F.lit(SHADOWS_CLIP) * F.col("_mad")
     shadow = F.when(clip_point < 0, F.lit(0.0)).otherwise(clip_point)
     after = F.try_divide(F.col("_median") - F.col("_shadow"), 1 - F.col("_shadow"))

@@ -39,3 +39,9 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored as Parquet below :func:`shared_dir` and read again; the reader knows its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

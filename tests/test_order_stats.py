@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe.operators import pixels
-from skyframe.operators.order_stats import order_statistics
+from skyframe.operators.order_stats import order_bits, order_statistics
 from skyframe.operators.stats import carry_forward, top_n_other
 
 
-@pytest.mark.parametrize("bins,steps", [(4096, 2), (3, 1), (2, 4)])
-def test_matches_numpy_on_awkward_groups(spark, bins, steps):
-    """Ties, one value, even counts, an outlier that squeezes all others into one bin."""
+@pytest.mark.parametrize("digit_bits", [16, 24])
+def test_matches_numpy_on_awkward_groups(spark, digit_bits):
+    """Ties, one value, even counts, outliers, exponential spread, infinities, the smallest numbers."""
     rng = np.random.default_rng(1)
     groups = {
         "ties": rng.integers(0, 5, 1001).astype(float),
@@ -19,12 +19,15 @@ def test_matches_numpy_on_awkward_groups(spark, bins, steps):
         "outlier": np.append(rng.normal(size=801), 1e12),
         "single": np.array([-7.5]),
         "pair": np.array([1.0, 2.0]),
+        "spread": 10.0 ** rng.uniform(-300, 300, 701) * rng.choice([-1, 1], 701),
+        "infinite": np.concatenate([rng.normal(size=300), [np.inf] * 40, [-np.inf] * 21]),
+        "tiny": np.arange(-50, 51) * 5e-324,
     }
     frame = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in groups.items()])
     df = spark.createDataFrame(frame).unionByName(
         spark.createDataFrame([("ties", None), ("even", float("nan"))], "g string, v double")
     )
-    got = order_statistics(df, ["g"], "v", {"m": "median", "p": 0.95}, bins, steps).collect()
+    got = order_statistics(df, ["g"], "v", {"m": "median", "p": 0.95}, digit_bits=digit_bits).collect()
     assert len(got) == len(groups)
     for row in got:
         values = np.sort(groups[row.g])
@@ -32,6 +35,34 @@ def test_matches_numpy_on_awkward_groups(spark, bins, steps):
         assert row.p == values[min(int(len(values) * 0.95), len(values) - 1)]
 
 
+def test_bits_order_as_numbers_do(spark):
+    """Against the bits of the machine, beside all powers of two and at the ends."""
+    powers = 2.0 ** np.arange(-1074, 1024, 3)
+    sizes = np.concatenate([powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), [0.0, 5e-324, 2.0**-1022, 1.7976931348623157e308, np.inf]])
+    values = np.unique(np.concatenate([sizes, -sizes]))
+    got = spark.createDataFrame(pd.DataFrame({"v": values})).select("v", order_bits("v").alias("b")).toPandas()
+    bits = np.abs(got.v.to_numpy()).view(np.int64)
+    assert (got.b.to_numpy() == np.where(got.v < 0, -bits, bits)).all() and len(got) == len(values)
+    assert (np.argsort(got.b.to_numpy(), kind="stable") == np.argsort(got.v.to_numpy(), kind="stable")).all()
+
+
+def test_weights_and_windows(spark):
+    """Weighted rows count as many times; the plan has a window over digits only, whatever the spread."""
+    rows = [("a", float(v), n) for v, n in ((1, 5), (2, 1), (1e300, 3), (-1e-300, 4), (2, 2))]
+    df = spark.createDataFrame(rows, "g string, v double, n long")
+    got = order_statistics(df, ["g"], "v", {"m": "median", "p": 0.95}, "n").first()
+    values = np.sort(np.repeat([r[1] for r in rows], [r[2] for r in rows]))
+    assert got.m == np.median(values) and got.p == values[int(len(values) * 0.95)]
+
+
+def test_an_image_is_read_twice(spark, tmp_path):
+    """Once for the counts of its values, once for the levels."""
+    spark.range(1000).selectExpr("id % 3 AS image_id", "id AS ix", "rand(1) AS value").write.parquet(f"{tmp_path}/p")
+    frame = spark.read.parquet(f"{tmp_path}/p")
+    plan = pixels.stretch(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/p") == 1  # the first reading is behind the written counts
+
+
 def numpy_stretch(data):
     data = np.nan_to_num(np.asarray(data, dtype=float))
     low, high = data.min(), data.max()
