@@ -193,7 +193,7 @@ FROM images WHERE id % 37 <> 0
 UNION ALL
 SELECT '/data/new/' || {s('p_partkey')} || CASE WHEN p_partkey % 20 = 0 THEN '.FITS' ELSE '.fits' END,
   cast(floor(p_retailprice) as bigint), {base}
-FROM part WHERE p_partkey % 10 = 0
+FROM part WHERE p_partkey % 10 <> 1
 UNION ALL
 SELECT '/data/new/notes_' || {s('p_partkey')} || '.txt', cast(1 as bigint), {base}
 FROM part WHERE p_partkey % 10 = 1

@@ -10,14 +10,26 @@ from checks.registry import Registry
 from skyframe.functions import geo
 from skyframe.operators import crossmatch
 from skyframe.operators import matches as match_tables
+from skyframe.session import scratch_path
 
 registry = Registry()
 
 
-def matches(spark: SparkSession, sf_dir: str, strategy: str = "broadcast") -> DataFrame:
-    return crossmatch.field_match(
-        view(spark, sf_dir, "images"), view(spark, sf_dir, "catalog"), cap=50, strategy=strategy
-    )
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossmatch.field_match(view(spark, sf_dir, "images"), view(spark, sf_dir, "catalog"), cap=50)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match table, as what an ingest has stored: matched once in a session, then read."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _STORED:
+        path = scratch_path(spark, "matches")
+        matches(spark, sf_dir).write.parquet(path)
+        _STORED[place] = path
+    return spark.read.parquet(_STORED[place])
 
 
 def rounded_matches(df: DataFrame) -> DataFrame:
@@ -43,8 +55,8 @@ def d4(spark, sf_dir):
 
 @registry.query("d4_field_match_shuffled", duck("matches") + ROUNDED)
 def d4_shuffled(spark, sf_dir):
-    """The same through the shuffled join, the one that serves catalogues of any size."""
-    return rounded_matches(matches(spark, sf_dir, strategy="shuffle"))
+    """The library's default, the shuffled join, which serves catalogues of any size; named for its earlier key."""
+    return rounded_matches(matches(spark, sf_dir))
 
 
 _CIRCLE_COLUMNS = "id, catalog_type, designation, round_even(separation, 6) AS separation"
@@ -213,14 +225,14 @@ _BLANKLESS = (
 )
 def e5(spark, sf_dir):
     placed = match_tables.with_coordinates(
-        blankless(matches(spark, sf_dir)), view(spark, sf_dir, "catalog")
+        blankless(stored_matches(spark, sf_dir)), view(spark, sf_dir, "catalog")
     )
     return placed.select(*match_tables.MATCH_KEY, "ra_degrees", "dec_degrees")
 
 
 def overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_tables.overlay_positions(
-        blankless(matches(spark, sf_dir)),
+        blankless(stored_matches(spark, sf_dir)),
         view(spark, sf_dir, "images"),
         view(spark, sf_dir, "catalog"),
     )

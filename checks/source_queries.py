@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.fixtures import duck, table, view
-from checks.match_queries import DEPROJECT, matches, wcs_images
+from checks.match_queries import DEPROJECT, stored_matches, wcs_images
 from checks.registry import Registry
 from checks.search_queries import images
 from skyframe.operators import stats
@@ -53,11 +53,14 @@ def messier_file(spark, sf_dir) -> str:
     return write_csv(rows, "messier-csv")
 
 
-def messier_details(spark, sf_dir) -> DataFrame:
-    """Details of every other object, a third of them known by designation only."""
+def messier_details(spark, sf_dir, listed: str = "p_partkey % 2 = 0") -> DataFrame:
+    """Details of the ``listed`` objects, a third of them known by designation only.
+
+    Loads take every other object, for the rows of the catalogue that have none.
+    """
     p = F.col("p_partkey")
     path = scratch_path(spark, "messier-json")
-    rows = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(
+    rows = table(spark, sf_dir, "part").filter(listed).select(
         F.when(p % 3 != 0, p.cast("int")).alias("messier_number"),
         F.concat(F.lit("M"), p.cast("string")).alias("designation"),
         F.concat(F.lit("json "), "p_name").alias("common_name"),
@@ -83,10 +86,10 @@ def a3(spark, sf_dir):
 @registry.query(
     "a6_messier_json",
     "SELECT CASE WHEN p_partkey % 3 <> 0 THEN p_partkey::int END AS messier_number, 'M' || p_partkey"
-    " AS designation, p_type AS type, p_brand AS const FROM part WHERE p_partkey % 2 = 0",
+    " AS designation, p_type AS type, p_brand AS const FROM part",
 )
 def a6(spark, sf_dir):
-    return messier_details(spark, sf_dir).select("messier_number", "designation", "type", "const")
+    return messier_details(spark, sf_dir, "true").select("messier_number", "designation", "type", "const")
 
 
 _MESSIER = (
@@ -653,14 +656,15 @@ def a12(spark, sf_dir):
     _LOG + ", c AS (SELECT *, last_value(concurrency IGNORE NULLS) OVER (PARTITION BY file ORDER BY"
     " \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS workers FROM log) SELECT"
     " workers, task, count(*) AS n, round_even(avg(seconds), 9) AS mean_s, median(seconds) AS median_s,"
-    " round_even(60 / avg(seconds) * workers, 4) AS tasks_per_minute FROM c WHERE task IS NOT NULL AND"
-    " workers IS NOT NULL GROUP BY 1, 2",
+    " coalesce(round_even(60 / avg(seconds) * workers, 4), 0) AS tasks_per_minute FROM c WHERE task IS NOT NULL"
+    " GROUP BY 1, 2",
 )
 def f20_log(spark, sf_dir):
     events = sidecars.log_events(log_lines(spark, sf_dir))
     block = F.floor(F.col("offset") / 5000)
     carried = stats.carry_forward(events, ["file"], "offset", block, {"concurrency": "workers"})
-    tasks = carried.filter("task IS NOT NULL AND workers IS NOT NULL")
+    # Tasks before the first announcement are a group of their own, with workers unknown.
+    tasks = carried.filter("task IS NOT NULL")
     return stats.duration_summary(tasks, ["workers", "task"], "seconds", "workers").select(
         "workers", "task", "n", F.bround("mean_s", 9).alias("mean_s"), "median_s",
         F.bround("tasks_per_minute", 4).alias("tasks_per_minute"),
@@ -728,7 +732,7 @@ _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
     " Solved\", coalesce(d, '') AS \"Detected Objects\" FROM images LEFT JOIN found ON image_id = id",
 )
 def a13(spark, sf_dir):
-    full = exports.full_export(images(spark, sf_dir), matches(spark, sf_dir))
+    full = exports.full_export(images(spark, sf_dir), stored_matches(spark, sf_dir))
     return full.select(
         "ID", "File Path", "Hash", "RA", "Field Radius", "Rotation", "Capture Date", "Camera",
         "Rating", "Plate Solved", "Detected Objects",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import duck, view
-from checks.match_queries import matches
+from checks.match_queries import stored_matches
 from checks.registry import Registry
 from checks.search_queries import images
 from skyframe.operators import crossmatch, quality, stats
@@ -36,7 +36,7 @@ def f1(spark, sf_dir):
     " FROM matches",
 )
 def f2(spark, sf_dir):
-    return stats.object_coverage(matches(spark, sf_dir))
+    return stats.object_coverage(stored_matches(spark, sf_dir))
 
 
 @registry.query(
@@ -79,12 +79,12 @@ _PER_OBJECT = (
     " LIMIT 10",
 )
 def f6(spark, sf_dir):
-    return stats.top_objects(matches(spark, sf_dir), images(spark, sf_dir))
+    return stats.top_objects(stored_matches(spark, sf_dir), images(spark, sf_dir))
 
 
 @registry.query("e3_match_image_join", duck("matches") + _PER_OBJECT)
 def e3(spark, sf_dir):
-    return stats.object_exposure(matches(spark, sf_dir), images(spark, sf_dir))
+    return stats.object_exposure(stored_matches(spark, sf_dir), images(spark, sf_dir))
 
 
 @registry.query(
@@ -112,7 +112,7 @@ def f7(spark, sf_dir):
     "catalog_designation))), ', ') AS detected_objects FROM matches GROUP BY 1",
 )
 def f9(spark, sf_dir):
-    return stats.detected_objects(matches(spark, sf_dir))
+    return stats.detected_objects(stored_matches(spark, sf_dir))
 
 
 _MOUNT = (
@@ -336,19 +336,18 @@ def d11(spark, sf_dir):
 
 @registry.query(
     "h7_progress_rate",
-    duck("status_events") + ", s AS (SELECT date_trunc('hour', ts) AS ts, count(*) AS n FROM"
-    " status_events WHERE status = 'PROCESSING' GROUP BY 1) SELECT ts, n, lag(n) OVER w - n AS"
+    duck("status_events") + ", s AS (SELECT status, date_trunc('hour', ts) AS ts, count(*) AS n FROM"
+    " status_events GROUP BY 1, 2) SELECT status, ts, n, lag(n) OVER w - n AS"
     " fixed, round_even((lag(n) OVER w - n) / (epoch(ts) - epoch(lag(ts) OVER w)), 9) AS rate"
-    " FROM s WINDOW w AS (ORDER BY ts)",
+    " FROM s WINDOW w AS (PARTITION BY status ORDER BY ts)",
 )
 def h7(spark, sf_dir):
     samples = (
         view(spark, sf_dir, "status_events")
-        .filter("status = 'PROCESSING'")
-        .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
+        .groupBy("status", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return stats.progress_rate(samples, "ts", "n").withColumn("rate", F.bround("rate", 9))
+    return stats.progress_rate(samples, "ts", "n", ["status"]).withColumn("rate", F.bround("rate", 9))
 
 
 @registry.query(

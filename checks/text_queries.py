@@ -212,6 +212,14 @@ def j12(spark, sf_dir):
     )
 
 
+@registry.query(
+    "j13_plain_designation",
+    duck("catalog_raw") + "SELECT line_no, replace(name, ' ', '') AS designation FROM catalog_raw",
+)
+def j13(spark, sf_dir):
+    return view(spark, sf_dir, "catalog_raw").select("line_no", text.without_blanks("name").alias("designation"))
+
+
 @registry.query(
     "j14_angular_size",
     "SELECT p_partkey AS id, CASE WHEN p_size = 0 THEN 'Unknown' WHEN p_size % 7 = 0 THEN"

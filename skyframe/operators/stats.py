@@ -399,15 +399,34 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: str, block: Column,
     return joined.drop("_block")
 
 
-def progress_rate(samples: DataFrame, ts: str, value: str) -> DataFrame:
-    """Change against the previous sample and the change per second.
+def progress_rate(
+    samples: DataFrame, ts: str, value: str, keys: Sequence[str] = (), block_seconds: int = 86_400
+) -> DataFrame:
+    """Change against the previous sample of the same series and the change per second.
 
-    ``samples`` is a monitoring series: one row per sampling moment, already aggregated.
+    ``samples`` is a monitoring series, or one per ``keys``: one row per sampling moment, already
+    aggregated. Series are cut into blocks of time; the last sample of each block is the one before the
+    first of the next, so a window holds the samples of a block, or one row for each block of a series.
+    Rows without a time stand before all others.
     """
-    series = Window.partitionBy().orderBy(ts)
+    keys = list(keys)
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    step = F.lag(value).over(series) - F.col(value)
-    elapsed = seconds - F.lag(seconds).over(series)
-    return samples.withColumn("fixed", step).withColumn(
-        "rate", F.when(elapsed > 0, step / elapsed).when(elapsed.isNotNull(), F.lit(0.0))
+    rows = samples.withColumn("_s", seconds).withColumn("_block", F.coalesce(F.floor(F.col("_s") / block_seconds), F.lit(-(1 << 62))))
+    # Plain rows have no series of their own; the constant keeps their blocks together.
+    rows = rows.withColumn("_series", F.struct(*keys) if keys else F.lit(0))
+    here = F.struct(F.col("_s"), F.col(value).alias("_value"))
+    ends = rows.groupBy("_series", "_block").agg(F.max(here).alias("_end"))
+    before = F.lag("_end").over(Window.partitionBy("_series").orderBy("_block"))
+    ends = ends.select(F.col("_series").alias("_of"), F.col("_block").alias("_at"), before.alias("_before"))
+    inside = F.lag(here).over(Window.partitionBy("_series", "_block").orderBy(ts))
+    rows = rows.withColumn("_last", inside).join(
+        ends, F.col("_series").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at"))
+    )
+    rows = rows.withColumn("_last", F.coalesce("_last", "_before"))
+    step = F.col("_last._value") - F.col(value)
+    elapsed = F.col("_s") - F.col("_last._s")
+    return (
+        rows.withColumn("fixed", step)
+        .withColumn("rate", F.when(elapsed > 0, step / elapsed).when(elapsed.isNotNull(), F.lit(0.0)))
+        .drop("_s", "_block", "_series", "_of", "_at", "_before", "_last")
     )

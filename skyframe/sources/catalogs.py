@@ -86,10 +86,17 @@ def filled(value) -> Column:
 
 
 def enrich_by_number(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    """Attach details by Messier number, or else by designation; adds ``_meta``."""
+    """Attach details by Messier number, or else by designation; adds ``_meta``.
+
+    Of details that are listed more than once for a number or designation the smallest row counts, so
+    no row of the catalogue is ever multiplied.
+    """
     details = extra.select(F.struct(*extra.columns).alias("_m"))
-    by_number = details.select(F.col("_m.messier_number").alias("messier_number"), F.col("_m").alias("_by_no"))
-    by_name = details.select(F.col("_m.designation").alias("designation"), F.col("_m").alias("_by_name"))
+
+    def one_for(key: str, name: str) -> DataFrame:
+        return details.groupBy(F.col(f"_m.{key}").alias(key)).agg(F.min("_m").alias(name)).where(F.col(key).isNotNull())
+
+    by_number, by_name = one_for("messier_number", "_by_no"), one_for("designation", "_by_name")
     return (
         rows.join(by_number, "messier_number", "left")
         .join(by_name, "designation", "left")

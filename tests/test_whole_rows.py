@@ -2,13 +2,14 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from skyframe.functions import text
 from skyframe.operators import crossmatch, stats, updates
 from skyframe.operators.filters import ImageFilter
 from skyframe.plans import ingest
-from skyframe.sources import files, headers
+from skyframe.sources import catalogs, files, headers
 
 
 def test_null_keys_keep_their_rows(spark):
@@ -121,3 +122,25 @@ def test_no_cap_by_default_and_only_levels_in_use(spark):
     assert crossmatch.nearest_per_type(pairs, 50).count() == 100
     levels = images.select(crossmatch.geo.level_for_radius("field_radius_degrees").alias("_level")).distinct()
     assert crossmatch.catalog_cells(objects, "ra_degrees", "dec_degrees", levels).count() == 120
+
+
+def test_details_that_are_listed_twice_multiply_nothing(spark):
+    rows = spark.createDataFrame([("M1", 1), ("M2", 2), ("M3", 3)], "designation string, messier_number int")
+    extra = [(1, "M1", "b"), (1, "M1", "a"), (1, "M9", "c"), (None, "M2", "x"), (None, "M2", "y"), (None, None, "z")]
+    extra = spark.createDataFrame(extra, "messier_number int, designation string, type string")
+    got = catalogs.enrich_by_number(rows, extra).collect()
+    assert sorted((r.designation, r._meta and r._meta.type) for r in got) == [("M1", "a"), ("M2", "x"), ("M3", None)]
+
+
+def test_progress_crosses_blocks_of_each_series(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, base + dt.timedelta(hours=h), h * h) for k in ("a", None) for h in (0, 1, 30, 31, 100)] + [("b", None, 1), ("b", base, 4)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, n long")
+    got = {(r.k, r.n): (r.fixed, r.rate) for r in stats.progress_rate(df, "ts", "n", ["k"]).collect()}
+    assert len(got) == len(rows)
+    for k in ("a", None):
+        assert got[k, 0] == (None, None) and got[k, 1] == (-1, pytest.approx(-1 / 3600))
+        assert got[k, 900] == (-899, pytest.approx(-899 / 29 / 3600)) and got[k, 10000] == (961 - 10000, pytest.approx((961 - 10000) / 69 / 3600))
+    assert got["b", 1] == (None, None) and got["b", 4][0] == -3
+    plain = stats.progress_rate(df.where("k = 'a'").drop("k"), "ts", "n").collect()
+    assert {r.n: r.fixed for r in plain} == {n: f for (k, n), (f, _) in got.items() if k == "a"}
