@@ -14,6 +14,7 @@ from checks.match_queries import DEPROJECT, stored_matches, wcs_images
 from checks.registry import Registry
 from checks.search_queries import images
 from skyframe.operators import stats
+from skyframe.operators.filters import ImageFilter
 from skyframe.operators.matches import wcs_choice
 from skyframe.plans import ingest
 from skyframe.session import scratch_path
@@ -721,21 +722,51 @@ def k3(spark, sf_dir):
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
 
 
+_NO_TEXT = ("Hash", "Solve Provider", "Binning", "White Balance", "Metering", "Lens", "Observer", "Site", "Submission ID", "Job ID", "Indexed At")
+_NOTHING = ("Aperture", "Focal Length", "35mm Equiv", "Flash", "Site Lat", "Site Lon")
+_EXPORTED = {
+    "ID": "id", "File Name": "file_name", "File Path": "file_path", "Format": "file_format", "Size (Bytes)": "file_size_bytes",
+    "Width": "width_pixels", "Height": "height_pixels", "Subtype": "subtype", "Plate Solved": "is_plate_solved",
+    "Solve Source": "coalesce(plate_solve_source, '')", "RA": "round_even(ra_center_degrees, 6)", "Dec": "round_even(dec_center_degrees, 6)",
+    "Field Radius": "round_even(field_radius_degrees, 4)", "Pixel Scale": "round_even(pixel_scale_arcsec, 4)",
+    "Rotation": "round_even(rotation_degrees, 3)", "Exposure (s)": "exposure_time_seconds",
+    "Capture Date": f"coalesce({_ISO.format('capture_date')}, '')", "Camera": "coalesce(camera_name, '')",
+    "Telescope": "coalesce(telescope_name, '')", "Filter": "coalesce(filter_name, '')", "Gain": "gain", "Rating": "rating",
+    "Manual Rating": "rating_manually_edited", "Object (Header)": "coalesce(object_name, '')", "Astrometry Status": "astrometry_status",
+    "Updated At": f"coalesce({_ISO.format('updated_at')}, '')", "Detected Objects": "coalesce(d, '')",
+} | {t: "''" for t in _NO_TEXT} | {t: "NULL::varchar" for t in _NOTHING}
+_FOUND = (
+    ", found AS (SELECT image_id, array_to_string(list_sort(list_distinct(list("
+    "catalog_designation))), ', ') AS d FROM matches GROUP BY 1)"
+)
+
+
 @registry.query(
     "a13_full_export",
-    duck("matches") + ", found AS (SELECT image_id, array_to_string(list_sort(list_distinct(list("
-    "catalog_designation))), ', ') AS d FROM matches GROUP BY 1) SELECT id AS \"ID\", file_path AS"
-    " \"File Path\", '' AS \"Hash\", round_even(ra_center_degrees, 6) AS \"RA\","
-    " round_even(field_radius_degrees, 4) AS \"Field Radius\", round_even(rotation_degrees, 3) AS"
-    f" \"Rotation\", coalesce({_ISO.format('capture_date')}, '') AS \"Capture Date\","
-    " coalesce(camera_name, '') AS \"Camera\", rating AS \"Rating\", is_plate_solved AS \"Plate"
-    " Solved\", coalesce(d, '') AS \"Detected Objects\" FROM images LEFT JOIN found ON image_id = id",
+    duck("matches") + _FOUND + " SELECT " + ", ".join(f'{sql} AS "{title}"' for title, sql in _EXPORTED.items())
+    + " FROM images LEFT JOIN found ON image_id = id",
 )
 def a13(spark, sf_dir):
-    full = exports.full_export(images(spark, sf_dir), stored_matches(spark, sf_dir))
-    return full.select(
-        "ID", "File Path", "Hash", "RA", "Field Radius", "Rotation", "Capture Date", "Camera",
-        "Rating", "Plate Solved", "Detected Objects",
+    return exports.full_export(images(spark, sf_dir), stored_matches(spark, sf_dir))
+
+
+@registry.query(
+    "a13_filtered_lines",
+    duck("matches") + _FOUND + " SELECT id::varchar AS id, file_path, is_plate_solved::varchar AS solved, coalesce(rating::varchar, '') AS rating,"
+    " coalesce(camera_name, '') AS camera, coalesce(d, '') AS objects FROM images LEFT JOIN found ON image_id = id"
+    " WHERE rating >= 3 AND file_format IN ('FITS', 'FIT')",
+)
+def a13_lines(spark, sf_dir):
+    """The export of filtered images, written sorted as text and read as CSV with its titles."""
+    path = scratch_path(spark, "export")
+    flt = ImageFilter(rating=3, format="FITS")
+    exports.write_export(exports.export_lines(images(spark, sf_dir), stored_matches(spark, sf_dir), flt, "rating"), path)
+    titles = [title for title, *_ in exports.FULL_EXPORT] + ["Detected Objects"]
+    rows = spark.read.csv(path, schema=", ".join(f"`{t}` string" for t in titles), escape='"')
+    text = lambda title: F.coalesce(F.col(f"`{title}`"), F.lit(""))
+    return rows.where("ID <> 'ID'").select(
+        F.col("ID").alias("id"), F.col("`File Path`").alias("file_path"), F.lower(text("Plate Solved")).alias("solved"),
+        text("Rating").alias("rating"), text("Camera").alias("camera"), text("Detected Objects").alias("objects"),
     )
 
 
