@@ -180,3 +180,12 @@ def test_annotations_and_folders(spark):
     assert counts == {"/m": 3, "/m/x": 2, "/m/x/y": 1}
     children = {r.folder: r.image_count for r in files.child_folder_counts(images, "/m").collect()}
     assert children == {"/m/x": 2}
+
+
+def test_annotations_are_added_where_none_is_set(spark):
+    names = ("a.fits", "a_Annotated.fits", "b.fits", "b_Annotated.fits", "c.fits", "c_Annotated.fits", "d.fits")
+    inventory = spark.createDataFrame([(f"/d/{n}",) for n in names], "path string")
+    known = [("/d/a.fits", None), ("/d/b.fits", "/d/other.fits"), ("/d/d.fits", None)]
+    images = spark.createDataFrame(known, "file_path string, pixinsight_annotation_path string")
+    assert {r.path for r in files.annotation_pairs(inventory).collect()} == {"/d/a.fits", "/d/b.fits", "/d/c.fits"}
+    assert [tuple(r) for r in files.annotation_pairs(inventory, images).collect()] == [("/d/a.fits", "/d/a_Annotated.fits")]
