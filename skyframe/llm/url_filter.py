@@ -47,16 +47,17 @@ def _digest(text: str) -> int:
 
 
 def _layout(rules: list[tuple[str, str]]) -> bytes:
-    """Counts, sorted digests, host digests, path lengths, text ends, verdicts, then the texts."""
+    """Counts, sorted digests, host digests, path lengths, host labels, text ends, verdicts, then the texts."""
     order = sorted((_digest(rule), rule, verdict == "allow") for rule, verdict in rules)
     texts = [rule.encode() for _, rule, _ in order]
     digests = np.array([d for d, _, _ in order], np.uint64)
     hosts = np.unique(np.array([_digest(r.partition("/")[0]) for _, r, _ in order], np.uint64))
     lengths = np.unique(np.array([len(r) - r.index("/") for _, r, _ in order], np.uint64))
+    labels = np.unique(np.array([r.partition("/")[0].count(".") + 1 for _, r, _ in order], np.uint64))
     ends = np.cumsum([len(t) for t in texts], dtype=np.uint64)
     allow = np.array([a for _, _, a in order], np.uint64)
-    head = np.array([len(digests), len(hosts), len(lengths)], np.uint64)
-    return b"".join(a.tobytes() for a in (head, digests, hosts, lengths, ends, allow)) + b"".join(texts)
+    head = np.array([len(digests), len(hosts), len(lengths), len(labels)], np.uint64)
+    return b"".join(a.tobytes() for a in (head, digests, hosts, lengths, labels, ends, allow)) + b"".join(texts)
 
 
 def publish(spark: SparkSession, rules: DataFrame, slice_rows: int = SLICE_ROWS) -> list[str]:
@@ -91,12 +92,12 @@ class _Slice:
 
     def __init__(self, path: str) -> None:
         self.raw = np.memmap(path, np.uint8, "r")
-        n, hosts, lengths = (int(x) for x in self.raw[:24].view(np.uint64))
-        cuts = np.cumsum([24, 8 * n, 8 * hosts, 8 * lengths, 8 * n, 8 * n])
-        self.digests, self.hosts, self.lengths, self.ends, self.allow = (
+        n, hosts, lengths, labels = (int(x) for x in self.raw[:32].view(np.uint64))
+        cuts = np.cumsum([32, 8 * n, 8 * hosts, 8 * lengths, 8 * labels, 8 * n, 8 * n])
+        self.digests, self.hosts, self.lengths, self.labels, self.ends, self.allow = (
             self.raw[a:b].view(np.uint64) for a, b in zip(cuts, cuts[1:], strict=False)
         )
-        self.texts, self.path_lengths = int(cuts[-1]), self.lengths.tolist()
+        self.texts, self.path_lengths, self.host_labels = int(cuts[-1]), self.lengths.tolist(), self.labels.tolist()
 
     def text(self, k: int) -> str:
         start = int(self.ends[k - 1]) if k else 0
@@ -127,39 +128,46 @@ def _opened(path: str) -> _Slice:
     return _Slice(path)
 
 
-def _suffixes(host: str) -> list[str]:
-    """The host and its parents."""
-    out = [host]
-    while (dot := host.find(".")) >= 0:
-        host = host[dot + 1 :]
-        out.append(host)
-    return out
+def _parents(host: str, labels: list[int]) -> Iterator[str]:
+    """The host and those of its parents that have one of these numbers of labels, given in ascending order.
+
+    The host is read from its end and no further than the longest wanted parent, so a host of any length
+    costs what the rules ask for.
+    """
+    dots, cut = 0, len(host)
+    for n in labels:
+        while cut >= 0 and dots < n:
+            cut = host.rfind(".", 0, cut)
+            dots += 1
+        if cut >= 0:
+            yield host[cut + 1 :]
+        elif dots == n:  # one dot less than wanted: the whole host
+            yield host
+            return
+        else:
+            return
 
 
 def _judge(hosts: list[str], paths: list[str], slices: list[_Slice]) -> list[tuple[str, str] | None]:
     """The longest fitting rule and its verdict; of equally long ones the one with the longer host."""
     best: list[tuple | None] = [None] * len(hosts)
-    owners, parents = [], []
-    for i, host in enumerate(hosts):
-        for parent in _suffixes(host):
-            owners.append(i)
-            parents.append(parent)
-    digests = np.fromiter(map(_digest, parents), np.uint64, len(parents))
     for part in slices:
         if not len(part.digests):
             continue
+        owned = [(i, parent) for i, host in enumerate(hosts) for parent in _parents(host, part.host_labels)]
+        digests = np.fromiter((_digest(parent) for _, parent in owned), np.uint64, len(owned))
         rows, keys = [], []
         for j in np.flatnonzero(part.has_host(digests)).tolist():
-            path = paths[owners[j]]
+            i, parent = owned[j]
             for n in part.path_lengths:
-                if n > len(path):
+                if n > len(paths[i]):
                     break
                 rows.append(j)
-                keys.append(parents[j] + path[:n])
+                keys.append(parent + paths[i][:n])
         for j, key, k in zip(rows, keys, part.find(keys), strict=True):
             if k >= 0:
-                rank = (len(key), len(parents[j]), key, "allow" if part.allow[k] else "block")
-                i = owners[j]
+                i, parent = owned[j]
+                rank = (len(key), len(parent), key, "allow" if part.allow[k] else "block")
                 best[i] = max(best[i], rank) if best[i] else rank
     return [b and (b[2], b[3]) for b in best]
 
@@ -171,7 +179,8 @@ def judge_urls(
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins. No
     rule: ``rule`` is NULL and the verdict ``default``. NULL urls and those without ``://`` have an
-    empty host and path, so no rule fits. Other columns are ignored.
+    empty host and path, so no rule fits. Hosts and paths may be of any length: only as much of them is
+    probed as the rules have. Other columns are ignored.
     """
 
     @pandas_udf("rule string, verdict string")

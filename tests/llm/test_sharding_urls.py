@@ -63,6 +63,7 @@ URLS = [
     "http://x.com/fr", "http://x.com/fr/", "http://x.com/de/1#z", "http://com/de/", "http://x.com", "http://org", "http://org/",
     "http://b.org/ab/1", "nothing", "://", "", None, "a://b://c.org/x", "http://é.xn--é.net/ü/1", "http://x.org:80/", "http://u@x.org/",
     "http://x.org?/fr/", "HTTP://.com/fr/", "http://x.org/" + "p/" * 50_000, "http://x.org/",
+    "http://" + "a." * 100_000 + "org/1", "http://" + "." * 100_000, "http://" + "com." * 50_000 + "b.org/ab/", "http://.org/", "http://org./",
 ]
 
 
@@ -90,6 +91,19 @@ def test_urls(spark, slice_rows):
     assert {r.page_id: tuple(r)[1:] for r in got} == {k: brute(u) for k, u in enumerate(URLS)}
 
 
+@pytest.mark.parametrize("labels", [[1], [2], [1, 2, 4], [3], [7]])
+def test_parents(labels):
+    for host in ("", ".", "a", "a.b", ".a.b", "a..b.", "a.b.c.d.e.f.g", "a.b.c.d.e.f.g.h"):
+        pieces = host.split(".")
+        want = [".".join(pieces[-n:]) for n in labels if n <= len(pieces)]
+        assert list(url_filter._parents(host, labels)) == want
+
+
+def test_a_host_of_many_labels_costs_what_the_rules_ask_for():
+    host = "a." * 5_000_000 + "org"
+    assert sum(map(len, url_filter._parents(host, [1, 2, 3]))) == 3 + 5 + 7
+
+
 def test_equal_digests_are_told_apart_by_their_texts(monkeypatch, tmp_path):
     monkeypatch.setattr(url_filter, "_digest", lambda text: 5)
     path = tmp_path / "rules"
