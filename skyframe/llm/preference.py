@@ -4,8 +4,8 @@ The longest common turn prefix of the two is the prompt and is rendered once; wh
 two completions. Each completion comes with the mask of what a loss may count: the character ranges of
 its assistant turns, end mark included, from and to counted in the completion, to exclusive.
 
-A conversation becomes one row, as its rendered text is one; conversations meet one to one by their id,
-so no group of them is ever gathered, however many say the same.
+A conversation becomes one row, as its rendered text is one; conversations meet one to one by their place
+in the order of ids, so no group of them is ever gathered, however many say the same.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyframe.llm.common import ranked, saved
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -57,20 +59,27 @@ def mask(turns: Column) -> Column:
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
-    """``pair_id, status, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask`` for each pair.
+    """``pair_id, status, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask, trailing`` for each pair.
 
     ``pairs`` has ``pair_id`` and the turns of both sides, ``chosen_turns`` and ``rejected_turns``, as
-    :func:`conversations` makes them. ``n_common`` turns are common and make the prompt; equal turns have
-    equal roles and texts. Status: ``ok``; ``identical`` if nothing follows the prompt on either side;
-    ``unpaired`` if a side is NULL, and then all else is NULL.
+    :func:`conversations` makes them, and may have ``trailing_turns``, which belong to neither side and
+    are rendered in ``trailing`` (else NULL). ``n_common`` turns are common and make the prompt; equal turns
+    have equal roles and texts. Status: ``ok``; ``identical`` if nothing follows the prompt on either side;
+    ``unpaired`` if a side is NULL: the side that exists is then rendered whole, with its mask, and what
+    the other side and the prompt would be is NULL.
     """
     a, b = F.col("chosen_turns"), F.col("rejected_turns")
+    trailing = F.col("trailing_turns") if "trailing_turns" in pairs.columns else F.lit(None).cast(pairs.schema["chosen_turns"].dataType)
     differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
     common = F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
-    rows = pairs.select("pair_id", a, b, F.when(a.isNotNull() & b.isNotNull(), common).alias("n_common"))
-    n = F.col("n_common")
-    rest = [F.slice(side, n + 1, F.greatest(F.size(side) - n, F.lit(0))) for side in (a, b)]
-    rows = rows.select("pair_id", "n_common", F.slice(a, 1, n).alias("common"), rest[0].alias("a"), rest[1].alias("b"))
+    rows = pairs.select(
+        "pair_id", a, b, trailing.alias("trailing"), F.when(a.isNotNull() & b.isNotNull(), common).alias("n_common")
+    )
+    n, skipped = F.col("n_common"), F.coalesce("n_common", F.lit(0))
+    rest = [F.slice(side, skipped + 1, F.greatest(F.size(side) - skipped, F.lit(0))) for side in (a, b)]
+    rows = rows.select(
+        "pair_id", "n_common", F.slice(a, 1, n).alias("common"), rest[0].alias("a"), rest[1].alias("b"), "trailing"
+    )
     status = F.when(n.isNull(), "unpaired").when((F.size("a") == 0) & (F.size("b") == 0), "identical").otherwise("ok")
     return rows.select(
         "pair_id",
@@ -79,29 +88,49 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
         render(F.col("common")).alias("prompt"),
         render(F.col("a")).alias("chosen"),
         render(F.col("b")).alias("rejected"),
-        F.when(n.isNotNull(), mask(F.col("a"))).alias("chosen_mask"),
-        F.when(n.isNotNull(), mask(F.col("b"))).alias("rejected_mask"),
+        F.when(F.col("a").isNotNull(), mask(F.col("a"))).alias("chosen_mask"),
+        F.when(F.col("b").isNotNull(), mask(F.col("b"))).alias("rejected_mask"),
+        render(F.col("trailing")).alias("trailing"),
     )
 
 
 def swapped_replies(turns: DataFrame) -> DataFrame:
-    """Pairs for :func:`format_pairs`: each conversation against itself with another's last reply.
-
-    Chosen is the conversation up to its last assistant turn; rejected has the last assistant turn of the
-    neighbour instead (ids 2k and 2k + 1), a reply that does not belong. Without a neighbour that replies,
-    or without a reply of its own, a side is NULL. One pair for each conversation.
+    """Pairs for :func:`format_pairs`: each conversation against itself with a neighbour's replies.
+
+    Conversations that reply are taken in the order of their ids (NULL first, gaps mean nothing) and paired
+    two by two; the last one of an odd number is paired with the one before it. Chosen is the conversation
+    up to its last assistant turn. Rejected parts from it at one of its assistant turns, number ``id modulo
+    how many it has``, and goes on with as many assistant turns of the neighbour, or all if it has fewer,
+    from the neighbour's first on, with the turns between them: replies that do not belong. What follows the
+    last assistant turn is ``trailing_turns``. A conversation that never replies has no chosen side, and all
+    its turns trail; the only one that replies has no rejected side. One pair for each conversation.
     """
     said = conversations(turns)
-    places = F.sequence(F.size("turns"), F.lit(1), F.lit(-1))
-    last = F.get(F.filter(places, lambda k: F.element_at("turns", k).role == "assistant"), 0)
-    known = said.select("conv", F.slice("turns", 1, last).alias("upto"), (last - 1).alias("before"))
-    other = known.where("upto IS NOT NULL").select(
-        F.struct(F.col("conv.conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id")).alias("conv"),
-        F.slice("upto", -1, 1).alias("reply"),
+    replies = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda k: F.element_at("turns", k).role == "assistant")
+    said = saved(said.withColumn("replies", replies), "conversations")
+    has = F.size("replies") > 0
+    place = ranked(said.where(has).select("conv", F.lit(0).alias("all")), "all", ["conv"]).select("conv", "pos", "n")
+    rows = said.join(place, "conv", "left")
+    pos, n = F.col("pos"), F.col("n")
+    alone = (pos == n - 1) & (pos % 2 == 0)
+    neighbour = F.when(alone, pos - 1).otherwise(pos.bitwiseXOR(F.lit(1).cast("long")))
+    nth = F.pmod(F.coalesce(F.col("conv.conv_id"), F.lit(0)), F.size("replies")).cast("int")
+    rows = rows.withColumn("neighbour", neighbour).withColumn("nth", F.when(has, nth))
+    other = rows.where("pos IS NOT NULL").select(
+        F.col("pos").alias("neighbour"), F.col("turns").alias("theirs"), F.col("replies").alias("their_replies")
+    )
+    rows = rows.join(other, "neighbour", "left")
+    last = F.get("replies", F.size("replies") - 1)
+    wanted = F.least(F.size("replies") - F.col("nth"), F.size("their_replies"))
+    first, until = F.get("their_replies", F.lit(0)), F.get("their_replies", wanted - 1)
+    kept = F.slice("turns", F.lit(1), F.get("replies", F.col("nth")) - 1)
+    after = F.coalesce(last, F.lit(0))
+    return rows.select(
+        F.col("conv.conv_id").alias("pair_id"),
+        F.slice("turns", F.lit(1), last).alias("chosen_turns"),
+        F.concat(kept, F.slice("theirs", first, until - first + 1)).alias("rejected_turns"),
+        F.slice("turns", after + 1, F.size("turns") - after).alias("trailing_turns"),
     )
-    rows = known.join(other.where("conv.conv_id IS NOT NULL"), "conv", "left")
-    rejected = F.concat(F.slice("upto", 1, F.col("before")), F.col("reply"))
-    return rows.select(F.col("conv.conv_id").alias("pair_id"), F.col("upto").alias("chosen_turns"), rejected.alias("rejected_turns"))
 
 
 def mask_text(mask: Column) -> Column:
@@ -109,35 +138,65 @@ def mask_text(mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda m: F.concat_ws(":", m.start, m.end)), ",")
 
 
-ORACLE = """
+_RENDERED = (
+    "array_to_string(['<|im_start|>' || replace(t.role, '<|', '< |') || chr(10)"
+    " || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10) FOR t IN {0}], '')"
+)
+_HEADS = "[length(replace(t.role, '<|', '< |')) + 13 FOR t IN {0}]"
+_SIZES = "[length(replace(t.role, '<|', '< |')) + 13 + length(replace(t.text, '<|', '< |')) + 11 FOR t IN {0}]"
+_MASK = (
+    "array_to_string([(coalesce(list_sum({0}_z[1:k - 1]), 0) + {0}_h[k])::BIGINT || ':'"
+    " || (list_sum({0}_z[1:k]) - 1)::BIGINT FOR k IN range(1, len({0}) + 1) IF {0}[k].role = 'assistant'], ',')"
+)
+
+
+def _text_sql(name: str) -> str:
+    return f"CASE WHEN {name} IS NOT NULL THEN coalesce({_RENDERED.format(name)}, '') END"
+
+
+def _mask_sql(name: str) -> str:
+    return f"CASE WHEN {name} IS NOT NULL THEN coalesce({_MASK.format(name)}, '') END"
+
+
+ORACLE = f"""
 WITH said AS (
     SELECT conv_id,
-           list({'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}
+           list({{'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}}
                 ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS turns
     FROM conversations GROUP BY conv_id
 ), known AS (
-    SELECT conv_id, turns, list_max([k FOR k IN range(1, len(turns) + 1) IF turns[k].role = 'assistant']) AS n FROM said
+    SELECT conv_id, turns, [k FOR k IN range(1, len(turns) + 1) IF turns[k].role = 'assistant'] AS r FROM said
+), replying AS (
+    SELECT *, row_number() OVER (ORDER BY conv_id NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+    FROM known WHERE len(r) > 0
+), placed AS (
+    SELECT *, CASE WHEN pos = n - 1 AND pos % 2 = 0 THEN pos - 1 ELSE xor(pos, 1) END AS neighbour,
+           (((coalesce(conv_id, 0) % len(r)) + len(r)) % len(r))::BIGINT AS nth
+    FROM replying
 ), pairs AS (
-    SELECT k.conv_id AS pair_id, k.turns[1:k.n] AS a, CASE WHEN o.n IS NOT NULL THEN k.turns[1:k.n - 1] || o.turns[o.n:o.n] END AS b
-    FROM known k LEFT JOIN known o ON o.conv_id = xor(k.conv_id, 1)
+    SELECT p.conv_id AS pair_id, p.turns[1:p.r[len(p.r)]] AS a,
+           CASE WHEN o.pos IS NOT NULL
+                THEN p.turns[1:p.r[p.nth + 1] - 1] || o.turns[o.r[1]:o.r[least(len(p.r) - p.nth, len(o.r))]] END AS b,
+           p.turns[p.r[len(p.r)] + 1:] AS rest
+    FROM placed p LEFT JOIN placed o ON o.pos = p.neighbour
+    UNION ALL SELECT conv_id, NULL, NULL, turns FROM known WHERE len(r) = 0
 ), cut AS (
-    SELECT pair_id, a, b, CASE WHEN a IS NOT NULL AND b IS NOT NULL
-           THEN coalesce(list_position([a[k] = b[k] FOR k IN range(1, len(a) + 1)], false) - 1, len(a)) END AS n_common
+    SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL
+           THEN coalesce(list_position([a[k] IS NOT DISTINCT FROM b[k] FOR k IN range(1, greatest(len(a), len(b)) + 1)], false) - 1,
+                         len(a)) END AS n_common
     FROM pairs
-), texts AS (
-    SELECT pair_id, n_common, a[1:n_common] AS p, a[n_common + 1:] AS a, b[n_common + 1:] AS b FROM cut
+), parts AS (
+    SELECT pair_id, n_common, a[1:n_common] AS p, a[coalesce(n_common, 0) + 1:] AS a, b[coalesce(n_common, 0) + 1:] AS b, rest
+    FROM cut
+), sized AS (
+    SELECT pair_id, n_common, CASE WHEN n_common IS NOT NULL THEN p END AS p, a, b, rest,
+           {_HEADS.format("a")} AS a_h, {_SIZES.format("a")} AS a_z, {_HEADS.format("b")} AS b_h, {_SIZES.format("b")} AS b_z
+    FROM parts
 )
 SELECT pair_id,
        CASE WHEN n_common IS NULL THEN 'unpaired' WHEN len(a) = 0 AND len(b) = 0 THEN 'identical' ELSE 'ok' END AS status,
        n_common::INTEGER AS n_common,
-       CASE WHEN n_common IS NOT NULL THEN coalesce(array_to_string(
-           ['<|im_start|>' || replace(t.role, '<|', '< |') || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10) FOR t IN p], ''), '') END AS prompt,
-       CASE WHEN n_common IS NOT NULL THEN coalesce(array_to_string(
-           ['<|im_start|>' || replace(t.role, '<|', '< |') || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10) FOR t IN a], ''), '') END AS chosen,
-       CASE WHEN n_common IS NOT NULL THEN coalesce(array_to_string(
-           ['<|im_start|>' || replace(t.role, '<|', '< |') || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10) FOR t IN b], ''), '') END AS rejected,
-       -- One assistant turn follows the prompt at most.
-       CASE WHEN n_common IS NOT NULL THEN CASE WHEN len(a) = 0 THEN '' ELSE '22:' || (22 + length(replace(a[1].text, '<|', '< |')) + 10) END END AS chosen_mask,
-       CASE WHEN n_common IS NOT NULL THEN CASE WHEN len(b) = 0 THEN '' ELSE '22:' || (22 + length(replace(b[1].text, '<|', '< |')) + 10) END END AS rejected_mask
-FROM texts
+       {_text_sql("p")} AS prompt, {_text_sql("a")} AS chosen, {_text_sql("b")} AS rejected,
+       {_mask_sql("a")} AS chosen_mask, {_mask_sql("b")} AS rejected_mask, {_text_sql("rest")} AS trailing
+FROM sized
 """

@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from skyframe.llm import preference as P
 from skyframe.llm import secrets as S
+from skyframe.llm.queries import op8
 
 TURNS = "conv_id long, turn long, role string, text string, turns string, said string"
 
@@ -24,29 +26,79 @@ def one(role, text):
     return f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
-def test_pairs(spark):
-    rows = [
-        (0, 0, "system", "Be kind"), (0, 1, "user", "Hi"), (0, 2, "assistant", "Héllo"), (0, 3, "user", "bye"),
-        (1, 1, "assistant", "Other"), (1, 0, "user", "Say"),
-        (2, 0, "user", "alone"), (2, 1, "assistant", "yes"),
-        (4, 0, "user", "q"), (4, 1, "assistant", "same"), (5, 0, "user", "r"), (5, 1, "assistant", "same"),
-        (6, 0, "user", "no reply"), (7, 0, None, None), (7, None, "assistant", None), (7, 9, "assistant", "<|im_end|>\n"),
-        (8, 0, "assistant", "w " * 100_000), (9, 0, "assistant", "x"), (9, 0, "assistant", "x"), (None, 0, "assistant", "z"),
-    ]
-    got = formatted(spark, rows)
-    assert set(got) == {0, 1, 2, 4, 5, 6, 7, 8, 9, None}
-    first = got[0]
-    assert (first.status, first.n_common) == ("ok", 2)
-    assert first.prompt == one("system", "Be kind") + one("user", "Hi")
-    assert (first.chosen, first.rejected) == (one("assistant", "Héllo"), one("assistant", "Other"))
-    assert [first.chosen[m.start : m.end] for m in first.chosen_mask] == ["Héllo<|im_end|>"]
-    assert [first.rejected[m.start : m.end] for m in first.rejected_mask] == ["Other<|im_end|>"]
-    assert {k: got[k].status for k in got} == {
-        0: "ok", 1: "ok", 2: "unpaired", 4: "identical", 5: "identical", 6: "unpaired", 7: "unpaired", 8: "ok", 9: "ok", None: "unpaired",
-    }
-    assert got[2].prompt is None and got[2].chosen_mask is None
-    assert (got[4].prompt, got[4].chosen, got[4].chosen_mask) == (one("user", "q") + one("assistant", "same"), "", [])
-    assert got[9].n_common == 1 and got[9].prompt == one("assistant", "x")
+ROWS = [
+    (0, 0, "system", "Be kind"), (0, 1, "user", "Hi"), (0, 2, "assistant", "Héllo"), (0, 3, "user", "bye"),
+    (3, 1, "assistant", "Other"), (3, 0, "user", "Say"),
+    (2, 0, "user", "no reply"), (2, 1, "user", "at all"),
+    (4, 0, "user", "q"), (4, 1, "assistant", "same"), (16, 0, "user", "r"), (16, 1, "assistant", "same"),
+    (27, 0, None, None), (27, None, "assistant", None), (27, 9, "assistant", "<|im_end|>\n"),
+    (28, 0, "assistant", "w " * 100_000), (29, 0, "assistant", "x"), (29, 0, "assistant", "x"), (None, 0, "assistant", "z"),
+    (40, 0, "user", "a"), (40, 1, "assistant", "b"), (40, 2, "user", "c"), (40, 3, "assistant", "d"), (40, 4, "tool", "e"),
+]
+
+
+def by_hand(rows):
+    """What swapped_replies promises, conversation by conversation."""
+    talks = {}
+    for conv, turn, role, text in rows:
+        talks.setdefault(conv, []).append(((turn is not None, turn or 0), role or "unknown", text or ""))
+    talks = {c: [t[1:] for t in sorted(ts)] for c, ts in talks.items()}
+    places = {c: [k for k, t in enumerate(ts) if t[0] == "assistant"] for c, ts in talks.items()}
+    order = sorted((c for c in talks if places[c]), key=lambda c: (c is not None, c or 0))
+    out = {}
+    for c, ts in talks.items():
+        if not places[c]:
+            out[c] = (None, None, ts)
+            continue
+        k = order.index(c)
+        k = k - 1 if k == len(order) - 1 and k % 2 == 0 else k ^ 1
+        rejected = None
+        if k >= 0:
+            nth, theirs = (c or 0) % len(places[c]), places[order[k]]
+            wanted = min(len(places[c]) - nth, len(theirs))
+            rejected = ts[: places[c][nth]] + talks[order[k]][theirs[0] : theirs[wanted - 1] + 1]
+        out[c] = (ts[: places[c][-1] + 1], rejected, ts[places[c][-1] + 1 :])
+    return out
+
+
+def rendered(part):
+    return None if part is None else "".join(one(r, t.replace("<|", "< |")) for r, t in part)
+
+
+@pytest.mark.parametrize("rows", [ROWS, ROWS[:4], ROWS[6:8], [(2 * i, j, r, t) for i, j, r, t in ROWS if i is not None]])
+def test_pairs(spark, rows):
+    """Gaps in the ids, an odd number, conversations without a reply, and turns after the last one."""
+    got, want = formatted(spark, rows), by_hand(rows)
+    assert set(got) == set(want)
+    for c, (a, b, rest) in want.items():
+        r = got[c]
+        assert r.trailing == rendered(rest)
+        if a is None or b is None:
+            assert (r.status, r.n_common, r.prompt) == ("unpaired", None, None)
+            assert (r.chosen, r.rejected) == (rendered(a), rendered(b))
+        else:
+            n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert (r.n_common, r.prompt, r.chosen, r.rejected) == (n, *map(rendered, (a[:n], a[n:], b[n:])))
+            assert r.status == ("ok" if a != b else "identical")
+            assert len(r.chosen_mask) == sum(role == "assistant" for role, _ in a[n:])
+
+
+def test_every_turn_is_in_a_column(spark):
+    got = formatted(spark, ROWS)
+    for c, (a, _, rest) in by_hand(ROWS).items():
+        assert (got[c].prompt or "") + (got[c].chosen or "") + got[c].trailing == rendered((a or []) + rest)
+    assert [got[0].chosen[m.start : m.end] for m in got[0].chosen_mask] == ["Héllo<|im_end|>"]
+    assert {got[c].status for c in (4, 16)} <= {"ok", "identical"} and got[40].n_common in (1, 3)
+
+
+def test_query_and_sql_on_gaps(spark, tmp_path):
+    turns(spark, ROWS).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(P.ORACLE)
+    names = [d[0] for d in want.description]
+    got = op8(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
 
 
 def test_general_pairs(spark):
