@@ -9,7 +9,9 @@ found where it is written in another way. Runs of equally labelled words become
 
 The weights of word shapes, of neighbours and of alike words are fitted together, by the
 pseudo-likelihood of the pattern labels, on a bounded sample of documents (``max_documents``, of at most
-``max_chars`` characters each). All documents are then read whole in one pass without a shuffle.
+``max_chars`` characters each, until there are ``max_words`` words). All documents are then read whole in
+one pass without a shuffle. Words are kept in flat arrays and texts are judged in blocks of words, so a
+task needs some 200 bytes for each word with a digit of its longest text.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import dataclasses
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,10 +36,11 @@ NONE = len(KINDS)
 LABELS = len(KINDS) + 1
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# Repeated groups are possessive: the same matches, without a stack that grows with their length.
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # A match that fails at the first digit of a run fails at the others too, so each run is tried once.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
@@ -102,17 +106,33 @@ SHORTEST_ALIKE = 4
 _EDGES = "\"'`.,;:!?()[]{}<>|*#$%&"
 
 
+#: Words, or edges, that are worked on together.
+BLOCK = 65_536
+
+
+def _numbers(code: str):
+    return dataclasses.field(default_factory=lambda: array(code))
+
+
 @dataclasses.dataclass
 class Graph:
-    """The words of some documents: spans, features, observed labels (-1: none) and edges."""
+    """The words of some documents: spans, features, observed labels (-1: none) and edges, all as flat arrays."""
+
+    document: Sequence[int] = _numbers("i")
+    start: Sequence[int] = _numbers("i")
+    end: Sequence[int] = _numbers("i")
+    features: Sequence[int] = _numbers("H")
+    observed: Sequence[int] = _numbers("b")
+    chain: Sequence[int] = _numbers("i")
+    skip: Sequence[int] = _numbers("i")
+
+    def feature_rows(self) -> np.ndarray:
+        return np.asarray(self.features).reshape(len(self.start), -1)
 
-    document: list[int]
-    start: list[int]
-    end: list[int]
-    features: list[list[int]]
-    observed: list[int]
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of words, the earlier one first, and whether they are joined by a skip edge."""
+        chain, skip = (np.asarray(edges, np.int32).reshape(-1, 2) for edges in (self.chain, self.skip))
+        return np.concatenate([chain, skip]), np.repeat([False, True], [len(chain), len(skip)])
 
 
 def _shape(word: str) -> str:
@@ -162,20 +182,20 @@ def add_document(graph: Graph, number: int, text: str, base: list[Span]) -> None
         graph.document.append(number)
         graph.start.append(a)
         graph.end.append(b)
-        graph.features.append(_features(text[a:b]))
+        graph.features.extend(_features(text[a:b]))
         graph.observed.append(inside[0][1] if inside else -1)
         if last_word is not None and not text[last_word:start].strip():
-            graph.chain.append((node - 1, node))
+            graph.chain.extend((node - 1, node))
         last_word = word.end()
         key = _alike(text[a:b])
         if len(key) >= SHORTEST_ALIKE:
             if key in seen:
-                graph.skip.append((seen[key], node))
+                graph.skip.extend((seen[key], node))
             seen[key] = node
 
 
 def graph_of(texts: list[str], bases: list[list[Span]]) -> Graph:
-    graph = Graph([], [], [], [], [], [], [])
+    graph = Graph()
     for number, (text, base) in enumerate(zip(texts, bases, strict=True)):
         add_document(graph, number, text, base)
     return graph
@@ -190,13 +210,6 @@ class Field:
     skip: np.ndarray
 
 
-def _edges(graph: Graph) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Source, target and whether it is a skip edge, both ways; the second half are the first ones turned round."""
-    pairs = np.array([*graph.chain, *graph.skip], np.int64).reshape(-1, 2)
-    skip = np.repeat([False, True], [len(graph.chain), len(graph.skip)])
-    return np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]]), np.tile(skip, 2)
-
-
 def fit_field(graph: Graph, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Field:
     """Weights of the largest pseudo-likelihood of the observed labels.
 
@@ -204,28 +217,33 @@ def fit_field(graph: Graph, steps: int = 300, rate: float = 0.1, decay: float =
     same label and half the weight. That is the consistency which the field shall learn to keep.
     """
     n = len(graph.start)
+    pairs, skip = graph.links()
     observed = np.array(graph.observed, np.int64)
     labels = observed.copy()
-    for links in (graph.skip, [(b, a) for a, b in reversed(graph.skip)]):  # from first to last, and back
+    alike = pairs[skip].tolist()
+    for links in (alike, [(b, a) for a, b in reversed(alike)]):  # from first to last, and back
         for a, b in links:
             if labels[b] < 0:
                 labels[b] = labels[a]
     weight = np.where((observed < 0) & (labels >= 0), 0.5, 1.0).astype(np.float32)[:, None]
     labels[labels < 0] = NONE
-    features = np.zeros((n, WIDTH), np.float32)
-    for row, columns in enumerate(graph.features):
-        features[row, columns] = 1
-    source, target, skip = _edges(graph)
+    features = np.sort(graph.feature_rows(), axis=1) if n else np.zeros((0, 1), np.int64)
+    once = np.ones(features.shape, np.float32)
+    once[:, 1:] = features[:, 1:] != features[:, :-1]  # a feature that is met twice counts once
     around = np.zeros((n, 3 * LABELS), np.float32)  # labels of the word before, of the one after, of alike words
-    half = len(source) // 2
-    forward = np.arange(len(source)) < half
-    np.add.at(around, (target, np.where(skip, 2 * LABELS, np.where(forward, 0, LABELS)) + labels[source]), 1)
-    inputs = np.concatenate([features, around], axis=1)
+    a, b = pairs.T
+    np.add.at(around, (b, np.where(skip, 2 * LABELS, 0) + labels[a]), 1)
+    np.add.at(around, (a, np.where(skip, 2 * LABELS, LABELS) + labels[b]), 1)
     wanted = np.eye(LABELS, dtype=np.float32)[labels]
-    weights = np.zeros((inputs.shape[1], LABELS), np.float32)
+    weights = np.zeros((WIDTH + 3 * LABELS, LABELS), np.float32)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, steps + 1 if n else 1):  # Adam on the whole sample
-        slope = inputs.T @ (weight * (_softmax(inputs @ weights) - wanted)) / n + decay * weights
+        score = around @ weights[WIDTH:]
+        for k in range(features.shape[1]):
+            score += weights[features[:, k]] * once[:, k, None]
+        wrong = weight * (_softmax(score) - wanted)
+        own = [np.bincount(features.ravel(), (once * wrong[:, y, None]).ravel(), WIDTH) for y in range(LABELS)]
+        slope = np.concatenate([np.stack(own, axis=1), around.T @ wrong]).astype(np.float32) / n + decay * weights
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         weights -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     before, after, alike = (weights[WIDTH + k * LABELS : WIDTH + (k + 1) * LABELS] for k in range(3))
@@ -237,28 +255,51 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def _blocks(n: int) -> Iterator[slice]:
+    return (slice(at, at + BLOCK) for at in range(0, n, BLOCK))
+
+
+def _sent(inner: np.ndarray, potential: np.ndarray) -> np.ndarray:
+    """Messages over edges from what their sources believe without them."""
+    scores = inner[:, :, None] + potential
+    top = scores.max(axis=1, keepdims=True)
+    new = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
+    return new - new.max(axis=1, keepdims=True)
+
+
 def beliefs(graph: Graph, field: Field, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Label probabilities of every word by loopy sum-product; all documents of the graph at once."""
+    """Label probabilities of every word by loopy sum-product; all documents of the graph at once.
+
+    Words and edges are worked on in blocks; all messages of a round rest on those of the round before.
+    """
     n = len(graph.start)
-    unary = np.array([field.unary[f].sum(0) for f in graph.features], np.float64).reshape(n, LABELS)
-    observed = np.array(graph.observed, np.int64)
-    unary[observed >= 0] = -50.0
-    unary[np.flatnonzero(observed >= 0), observed[observed >= 0]] = 0.0
-    source, target, skip = _edges(graph)
-    half = len(source) // 2
-    forward = (np.arange(len(source)) < half)[:, None, None]
-    potential = np.where(skip[:, None, None], field.skip, np.where(forward, field.chain, field.chain.T))
-    back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-    messages = np.zeros((len(source), LABELS))
-    for _ in range(rounds if len(source) else 0):
-        total = unary.copy()
-        np.add.at(total, target, messages)
-        sent = (total[source] - messages[back])[:, :, None] + potential
-        top = sent.max(axis=1, keepdims=True)
-        new = (np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0]).reshape(-1, LABELS)
-        messages = damping * messages + (1 - damping) * (new - new.max(axis=1, keepdims=True))
-    np.add.at(unary, target, messages)
-    return _softmax(unary) if n else unary
+    unary = np.zeros((n, LABELS), field.unary.dtype)
+    if not n:
+        return unary
+    features, observed = graph.feature_rows(), np.asarray(graph.observed)
+    for cut in _blocks(n):
+        unary[cut] = field.unary[features[cut]].sum(1)
+    known = np.flatnonzero(observed >= 0)
+    unary[known] = -50.0
+    unary[known, observed[known]] = 0.0
+    pairs, skip = graph.links()
+    there, back = (np.zeros((len(pairs), LABELS), unary.dtype) for _ in range(2))
+
+    def add_messages(total: np.ndarray) -> np.ndarray:
+        for cut in _blocks(len(pairs)):
+            np.add.at(total, pairs[cut, 1], there[cut])
+        for cut in _blocks(len(pairs)):
+            np.add.at(total, pairs[cut, 0], back[cut])
+        return total
+
+    for _ in range(rounds if len(pairs) else 0):
+        total = add_messages(unary.copy())
+        for cut in _blocks(len(pairs)):
+            a, b = pairs[cut].T
+            potential = np.where(skip[cut, None, None], field.skip, field.chain).astype(unary.dtype)
+            new = _sent(total[a] - back[cut], potential), _sent(total[b] - there[cut], potential.swapaxes(1, 2))
+            there[cut], back[cut] = (damping * old[cut] + (1 - damping) * m for old, m in zip((there, back), new, strict=True))
+    return _softmax(add_messages(unary))
 
 
 #: Digits that a further span of a kind must have; an e-mail address needs an at sign instead.
@@ -268,60 +309,91 @@ _LEAST, _MOST = (0, 4, 12, 7), (99, 12, 19, 15)
 def further_spans(texts: list[str], graph: Graph, chances: np.ndarray, threshold: float) -> list[list[Span]]:
     """Runs of words, next to each other, that have one kind with at least ``threshold`` and no pattern span."""
     out: list[list[Span]] = [[] for _ in texts]
-    label = np.where(chances.max(1) >= threshold, chances.argmax(1), NONE) if len(chances) else np.zeros(0, np.int64)
-    label = np.where(np.array(graph.observed, np.int64) >= 0, NONE, label).tolist()
-    follows = {b: a for a, b in graph.chain}
-    k = 0
-    while k < len(label):
-        kind, first = label[k], k
-        if kind == NONE:
-            k += 1
+    if not len(chances):
+        return out
+    label = np.where(chances.max(1) >= threshold, chances.argmax(1), NONE)
+    label[np.asarray(graph.observed) >= 0] = NONE
+    joined = np.zeros(len(label) + 1, bool)  # to the word before
+    joined[np.asarray(graph.chain, np.int32)[1::2]] = True
+    done = -1
+    for first in np.flatnonzero(label != NONE).tolist():
+        if first <= done:
             continue
-        while k + 1 < len(label) and label[k + 1] == kind and kind == 3 and follows.get(k + 1) == k:
-            k += 1
+        kind, done = int(label[first]), first
+        while kind == 3 and joined[done + 1] and label[done + 1] == kind:
+            done += 1
         number = graph.document[first]
-        start, end = graph.start[first], graph.end[k]
+        start, end = graph.start[first], graph.end[done]
         written = texts[number][start:end]
         fits = "@" in written if kind == 0 else _LEAST[kind] <= len(_digits(written)) <= _MOST[kind]
         if fits:
             out[number].append((start, kind, end))
-        k += 1
     return out
 
 
 def fit_on_documents(
-    docs: DataFrame, max_documents: int = 2000, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    max_documents: int = 2000,
+    max_chars: int = 20_000,
+    max_words: int = 100_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> Field:
-    """The field, fitted on the documents with the smallest hash among those with a digit or an at sign."""
+    """The field, fitted on the documents with the smallest hash among those with a digit or an at sign.
+
+    Documents are taken as long as the sample has fewer than ``max_words`` words, which bounds its memory.
+    """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.where((F.char_length("text") <= max_chars) & F.col("text").rlike("[0-9@]"))
-    texts = [r.text for r in hash_sample(rows, max_documents, "doc_id", "text").collect()]
-    return fit_field(graph_of(texts, [base_spans(t) for t in texts]))
-
-
-def find_personal_data(docs: DataFrame, field: Field | None = None, threshold: float = 0.9, **options) -> DataFrame:
+    graph = Graph()
+    for number, row in enumerate(hash_sample(rows, max_documents, "doc_id", "text").collect()):
+        if len(graph.start) >= max_words:
+            break
+        add_document(graph, number, row.text, base_spans(row.text))
+    return fit_field(graph)
+
+
+def judged(texts: list[str], field: Field, threshold: float) -> Iterator[tuple[list[Span], list[Span]]]:
+    """Pattern spans and further spans of each text; so many texts are judged together as make up a block."""
+    at = 0
+    while at < len(texts):
+        graph, bases, first = Graph(), [], at
+        while at < len(texts) and len(graph.start) < BLOCK:
+            bases.append(base_spans(texts[at]))
+            add_document(graph, at - first, texts[at], bases[-1])
+            at += 1
+        more = further_spans(texts[first:at], graph, beliefs(graph, field), threshold)
+        yield from zip(bases, more, strict=True)
+
+
+def find_personal_data(
+    docs: DataFrame,
+    field: Field | None = None,
+    threshold: float = 0.9,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **sample,
+) -> DataFrame:
     """One row per row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
     The counts and the digest are those of the pattern spans, ``spans`` has them and the field's. Offsets
     count characters (code points), the end is exclusive. NULL texts count as empty and have no spans;
-    repeated rows are judged one by one. Other columns are ignored.
+    repeated rows are judged one by one. Other columns are ignored. ``sample`` goes to the fit, if no
+    field is given.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field or fit_on_documents(docs, **options))
+    field = field or fit_on_documents(docs, id_col=id_col, text_col=text_col, **sample)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     @pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in parts:
-            texts = series.tolist()
-            bases = [base_spans(t) for t in texts]
-            graph = graph_of(texts, bases)
-            more = further_spans(texts, graph, beliefs(graph, shared.value), threshold)
             rows = []
-            for base, extra in zip(bases, more, strict=True):
+            for base, extra in judged(series.tolist(), shared.value, threshold):
                 counts = [sum(s[1] == kind for s in base) for kind in range(NONE)]
                 digest = hashlib.sha256(spans_text(base).encode()).hexdigest()
                 rows.append((*counts, digest, spans_text(sorted({*base, *extra}))))
             yield pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    rows = docs.select("doc_id", found(text_or_empty("text")).alias("found"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), found(text_or_empty(text_col)).alias("found"))
     return rows.select("doc_id", "found.*")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -85,8 +86,10 @@ def test_alike_words_are_linked_and_neighbours_chained():
     graph = P.graph_of([text], [P.base_spans(text)])
     words = [text[a:b] for a, b in zip(graph.start, graph.end, strict=True)]
     assert words == ["+1", "(743)", "555-3824", "555", "3824", "A1bc", "a1BC", "5553824"]
-    assert graph.observed == [3, 3, 3, -1, -1, -1, -1, -1]
-    assert graph.chain == [(0, 1), (1, 2), (3, 4), (6, 7)] and graph.skip == [(5, 6), (2, 7)]
+    assert list(graph.observed) == [3, 3, 3, -1, -1, -1, -1, -1]
+    pairs, skip = graph.links()
+    chain, alike = (list(map(tuple, pairs[kind].tolist())) for kind in (~skip, skip))
+    assert chain == [(0, 1), (1, 2), (3, 4), (6, 7)] and alike == [(5, 6), (2, 7)]
 
 
 def made_documents(n=400):
@@ -144,3 +147,38 @@ def test_odd_rows(spark):
     assert all((by_id[k].spans, by_id[k].base_sha256) == ("", empty) for k in (1, 2, 5))
     assert by_id[None].spans == "email:0:6" and by_id[3].n_ip == 20_000 and by_id[4].spans == "ip:2:9"
     assert P.find_personal_data(docs.where("false")).count() == 0
+
+
+def test_blocks_change_nothing(monkeypatch):
+    texts = [t for _, t, _ in made_documents(60)] + ["", "no hints", "1234 " * 500 + "+1 (743) 555-3824 555 3824"]
+    field = P.fit_field(P.graph_of(texts, [P.base_spans(t) for t in texts]))
+    whole = list(P.judged(texts, field, 0.9))
+    monkeypatch.setattr(P, "BLOCK", 7)
+    assert list(P.judged(texts, field, 0.9)) == whole and any(extra for _, extra in whole)
+
+
+def test_a_long_text_of_numbers_needs_bounded_memory():
+    """Some 400 bytes a word at most, in one graph; the old form took over 2,000."""
+    text = " ".join(str(1000 + k % 9000) for k in range(300_000))
+    rng = np.random.default_rng(1)
+    field = P.Field(*(rng.normal(size=shape).astype(np.float32) for shape in ((P.WIDTH, P.LABELS), (5, 5), (5, 5))))
+    tracemalloc.start()
+    try:
+        ((base, _),) = P.judged([text], field, 0.9)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not base and peak < 400 * 300_000
+
+
+def test_the_sample_is_bounded_by_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "12345 " * 1000) for k in range(50)], "doc_id long, text string")
+    sizes = []
+    monkeypatch.setattr(P, "fit_field", lambda graph: sizes.append(len(graph.start)))
+    P.fit_on_documents(docs, max_words=2500)
+    assert sizes == [3000]
+
+
+def test_columns_of_other_names(spark):
+    docs = spark.createDataFrame([(7, "mail a@b.co", "x")], "key long, body string, text string")
+    assert [(r.doc_id, r.n_email) for r in P.find_personal_data(docs, id_col="key", text_col="body").collect()] == [(7, 1)]
