@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import duck, separation_sql, view
 from checks.match_queries import stored_matches
 from checks.registry import Registry
-from skyframe.operators import crossmatch, filters, search
+from skyframe.operators import crossmatch, filters, ranks, search
 
 registry = Registry()
 
@@ -458,6 +458,38 @@ def h4(spark, sf_dir):
     return search.sky_coverage_points(images(spark, sf_dir), limit=10_000)
 
 
+@registry.query(
+    "h2_deep_page",
+    duck("images") + "SELECT id, row_number() OVER (ORDER BY exposure_time_seconds DESC NULLS LAST, id) AS position,"
+    " count(*) OVER () AS total FROM images QUALIFY position BETWEEN 201 * 40 + 1 AND 202 * 40",
+)
+def h2_deep(spark, sf_dir):
+    everything = images(spark, sf_dir)
+    order = search.image_order(everything, "exposure_time_seconds")
+    keys = everything.select("id", "exposure_time_seconds")
+    return ranks.page_at(keys, order, 202, 40).select("id", "position", "total")
+
+
+@registry.query(
+    "h2_page_after",
+    duck("images") + "SELECT id, rating FROM images WHERE rating < 3 OR rating IS NULL OR (rating = 3 AND id > 5000)"
+    " ORDER BY rating DESC NULLS LAST, id LIMIT 40",
+)
+def h2_after(spark, sf_dir):
+    return search.page_after(images(spark, sf_dir), "rating", "desc", (3, 5000), 40).select("id", "rating")
+
+
+@registry.query(
+    "h6_whole_result",
+    duck("images") + "SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id, row_number() OVER w AS position,"
+    " count(*) OVER () AS total FROM images WHERE is_plate_solved"
+    " WINDOW w AS (ORDER BY capture_date DESC NULLS LAST, id)",
+)
+def h6_whole(spark, sf_dir):
+    solved = filters.ImageFilter(solve_state=True).apply(images(spark, sf_dir))
+    return ranks.neighbours(solved.select("id", "capture_date"), search.image_order(solved))
+
+
 @registry.query(
     "h6_neighbours",
     duck("images") + "SELECT id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id,"

@@ -24,6 +24,28 @@ def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFra
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(
+    images: DataFrame, sort_by: str, order: str, after: tuple | None, size: int
+) -> DataFrame:
+    """The page that follows the row ``(sort value, id)``, or the first one: a top-k of ``size`` rows.
+
+    Takes the order of :func:`image_order`, so going on from the last row of each page gives the pages of
+    :func:`page_of` without ever sorting what was already shown.
+    """
+    if after is not None:
+        column = F.col(sort_by if sort_by in images.columns else "capture_date")
+        value, last_id = after
+        if value is None:
+            images = images.filter(column.isNull() & (F.col("id") > last_id))
+        else:
+            value = F.lit(value).cast(images.select(column).schema[0].dataType)
+            beyond = column > value if order.lower() == "asc" else column < value
+            images = images.filter(
+                column.isNull() | beyond | ((column == value) & (F.col("id") > last_id))
+            )
+    return images.orderBy(*image_order(images, sort_by, order)).limit(size)
+
+
 def page_totals(df: DataFrame, size: int) -> DataFrame:
     """Row count and number of pages."""
     return df.agg(F.count(F.lit(1)).alias("total")).withColumn(
