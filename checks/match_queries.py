@@ -249,6 +249,53 @@ def d9(spark, sf_dir):
     )
 
 
+#: Distortion of the test headers by term: what it is times 1 + id % 5.
+SIP = {"A_2_0": 2e-6, "A_1_1": -1e-6, "A_0_3": 1e-10, "B_0_2": -2e-6, "B_1_1": 1.5e-6, "B_2_1": -1e-10}
+
+
+def distorted_images(spark, sf_dir):
+    """Images with file headers of the same linear WCS as the columns, nine of ten with distortion."""
+    rows = view(spark, sf_dir, "images")
+    cd = geo.cd_matrix("pixel_scale_arcsec", "rotation_degrees", "parity")
+    scale = (1 + F.col("id") % 5).cast("double")
+    numbers = {
+        "CRVAL1": F.col("ra_center_degrees"), "CRVAL2": F.col("dec_center_degrees"),
+        "CRPIX1": F.col("width_pixels") / 2, "CRPIX2": F.col("height_pixels") / 2,
+        "CD1_1": cd[0], "CD1_2": cd[1], "CD2_1": cd[2], "CD2_2": cd[3], "A_ORDER": F.lit(3), "B_ORDER": F.lit(3),
+    } | {k: F.lit(v) * scale for k, v in SIP.items()}
+    kind = F.when(F.col("id") % 10 == 0, "").otherwise("-SIP")
+    cards = {"CTYPE1": F.concat(F.lit("RA---TAN"), kind), "CTYPE2": F.concat(F.lit("DEC--TAN"), kind)}
+    cards |= {k: v.cast("string") for k, v in numbers.items()}
+    return rows.withColumn("raw_header", F.create_map(*[x for k, v in cards.items() for x in (F.lit(k), v)]))
+
+
+def _sip_step(k: int) -> str:
+    return (
+        f"s{k + 1} AS (SELECT * REPLACE (u0 - s * (2e-6 * u * u - 1e-6 * u * v + 1e-10 * v * v * v) AS u,"
+        f" v0 - s * (-2e-6 * v * v + 1.5e-6 * u * v - 1e-10 * u * u * v) AS v) FROM s{k})"
+    )
+
+
+@registry.query(
+    "d9_overlay_sip",
+    duck("matches") + f", {_BLANKLESS}, s0 AS (SELECT p.*, x + 1 - width_pixels / 2 AS u0, y + 1 - height_pixels / 2 AS v0,"
+    " x + 1 - width_pixels / 2 AS u, y + 1 - height_pixels / 2 AS v, width_pixels, height_pixels,"
+    " CASE WHEN i.id % 10 = 0 THEN 0::double ELSE 1 + i.id % 5 END AS s FROM placed p JOIN images i ON i.id = p.image_id), "
+    + ", ".join(map(_sip_step, range(12)))
+    + ", px AS (SELECT *, u - 1 + width_pixels / 2 AS sx, v - 1 + height_pixels / 2 AS sy FROM s12), shown AS (SELECT *,"
+    " sx BETWEEN -100 AND width_pixels + 100 AND sy BETWEEN -100 AND height_pixels + 100 AS inside FROM px)"
+    " SELECT image_id, catalog_type, catalog_designation, ra_degrees, dec_degrees,"
+    " CASE WHEN inside THEN round_even(sx, 3) END AS pixel_x, CASE WHEN inside THEN round_even(sy, 3) END AS pixel_y FROM shown",
+)
+def d9_sip(spark, sf_dir):
+    found = match_tables.overlay_positions(
+        blankless(stored_matches(spark, sf_dir)),
+        distorted_images(spark, sf_dir),
+        view(spark, sf_dir, "catalog"),
+    )
+    return found.withColumns({"pixel_x": F.bround("pixel_x", 3), "pixel_y": F.bround("pixel_y", 3)})
+
+
 def wcs_images(spark, sf_dir):
     """Images with file and solver header maps."""
     headers = view(spark, sf_dir, "wcs_headers").select(
