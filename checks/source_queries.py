@@ -772,16 +772,17 @@ def a13_lines(spark, sf_dir):
 
 @registry.query(
     "a14_narrow_export",
-    duck("images") + "SELECT file_name AS \"File Name\", filter_name AS \"Filter\", nullif(gain, 0) AS"
-    " \"Gain\", CASE WHEN is_plate_solved THEN 'Yes' ELSE 'No' END AS \"Plate Solved\","
-    f" {_ISO.format('capture_date')} AS \"Capture Date\", nullif(rating, 0) AS \"Rating\", subtype AS"
-    " \"Classification\" FROM images WHERE id % 4 = 1",
+    duck("images") + "SELECT file_name AS \"File Name\", file_format AS \"Format\", object_name AS \"Object\", camera_name"
+    " AS \"Camera\", telescope_name AS \"Telescope\", filter_name AS \"Filter\", nullif(exposure_time_seconds, 0) AS"
+    " \"Exposure (s)\", nullif(gain, 0) AS \"Gain\", CASE WHEN id % 8 = 1 THEN 100 * (id % 16) END AS \"ISO\","
+    " CASE WHEN is_plate_solved THEN 'Yes' ELSE 'No' END AS \"Plate Solved\", nullif(ra_center_degrees, 0) AS \"RA\","
+    f" nullif(dec_center_degrees, 0) AS \"Dec\", {_ISO.format('capture_date')} AS \"Capture Date\", nullif(rating, 0) AS"
+    " \"Rating\", subtype AS \"Classification\" FROM images WHERE id % 4 = 1",
 )
 def a14(spark, sf_dir):
-    table_ = images(spark, sf_dir)
-    return exports.narrow_export(table_, table_.filter("id % 4 = 1")).select(
-        "File Name", "Filter", "Gain", "Plate Solved", "Capture Date", "Rating", "Classification"
-    )
+    """A selection of the images is what this export takes; all 15 columns are compared."""
+    table_ = images(spark, sf_dir).withColumn("iso_speed", F.expr("CASE WHEN id % 8 = 1 THEN 100 * (id % 16) END"))
+    return exports.narrow_export(table_, table_.filter("id % 4 = 1"))
 
 
 @registry.query(

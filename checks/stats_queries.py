@@ -315,12 +315,28 @@ def f23(spark, sf_dir):
 @registry.query(
     "f24_bulk_match_summary",
     duck("images") + "SELECT count(*) AS total, count(*) AS processed, count(*) FILTER (NOT"
-    " is_plate_solved) AS skipped FROM images WHERE starts_with(file_path, '/data/mount1')",
+    " is_plate_solved) AS skipped, 0::bigint AS errors FROM images WHERE starts_with(file_path, '/data/mount1')",
 )
 def f24(spark, sf_dir):
     return stats.bulk_match_summary(images(spark, sf_dir), "/data/mount1")
 
 
+@registry.query(
+    "f24_bulk_match_errors",
+    duck("matches") + "SELECT count(*) AS total, count(*) AS processed, count(*) FILTER (NOT is_plate_solved) AS skipped,"
+    " count(*) FILTER (is_plate_solved AND (id % 50 = 0 OR id % 70 = 0)) AS errors, count(n) AS matched,"
+    " coalesce(sum(n), 0)::bigint AS matches FROM images i LEFT JOIN (SELECT image_id, count(*) AS n FROM matches GROUP BY 1) m"
+    " ON m.image_id = i.id WHERE starts_with(file_path, '/data/mount2')",
+)
+def f24_errors(spark, sf_dir):
+    """Some centres lie beyond the pole, others are not numbers."""
+    spoilt = images(spark, sf_dir).withColumns({
+        "dec_center_degrees": F.when(F.col("id") % 50 == 0, 90.5).otherwise(F.col("dec_center_degrees")),
+        "ra_center_degrees": F.when(F.col("id") % 70 == 0, float("nan")).otherwise(F.col("ra_center_degrees")),
+    })
+    return stats.bulk_match_summary(spoilt, "/data/mount2", stored_matches(spark, sf_dir))
+
+
 @registry.query(
     "d11_sky_density",
     duck("images") + "SELECT *, round_even(image_count / max(image_count) OVER (), 6) AS density"

@@ -348,13 +348,32 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return counted
 
 
-def bulk_match_summary(images: DataFrame, prefix: str) -> DataFrame:
-    """Images below a path prefix, and how many a match run skips because they are unsolved."""
-    return images.filter(F.col("file_path").startswith(prefix)).agg(
+def bulk_match_summary(
+    images: DataFrame, prefix: str, matches: DataFrame | None = None
+) -> DataFrame:
+    """Images below a path prefix, how many a match run skips as unsolved, and how many it cannot place.
+
+    ``errors`` counts solved images whose centre is given but no place on the sky: not a number, infinite,
+    or a declination beyond the poles. With the match table, ``matched`` counts the images with a match
+    and ``matches`` all their matches; both sides meet on the image id, and matches are counted per image
+    before they do.
+    """
+    found = images.filter(F.col("file_path").startswith(prefix))
+    ra, dec = F.col("ra_center_degrees").cast("double"), F.col("dec_center_degrees").cast("double")
+    # NaN sorts above every number.
+    nowhere = (F.abs(ra) == float("inf")) | F.isnan(ra) | (F.abs(dec) > 90)
+    columns = [
         F.count(F.lit(1)).alias("total"),
         F.count(F.lit(1)).alias("processed"),
-        F.count_if(~F.col("is_plate_solved")).alias("skipped"),
-    )
+        F.count_if(~F.coalesce("is_plate_solved", F.lit(False))).alias("skipped"),
+        F.count_if(F.col("is_plate_solved") & nowhere).alias("errors"),
+    ]
+    if matches is not None:
+        per_image = matches.groupBy("image_id").agg(F.count(F.lit(1)).alias("_matches"))
+        found = found.join(per_image, found["id"] == per_image["image_id"], "left")
+        columns.append(F.count("_matches").alias("matched"))
+        columns.append(F.coalesce(F.sum("_matches"), F.lit(0)).alias("matches"))
+    return found.agg(*columns)
 
 
 # --- ordered series --------------------------------------------------------------------------
