@@ -785,36 +785,95 @@ def a14(spark, sf_dir):
     return exports.narrow_export(table_, table_.filter("id % 4 = 1"))
 
 
+#: Fields of the documents that the images have a column for, with the type and the column; the others are null.
+_DOCUMENT_FIELDS = {
+    "file": (
+        ("name", "string", "file_name"), ("format", "string", "file_format"), ("size", "bigint", "file_size_bytes"),
+        ("path", "string", "file_path"), ("created", "string", None), ("modified", "string", _ISO.format("file_last_modified")),
+        ("hash", "string", None), ("indexed", "string", None), ("updated", "string", _ISO.format("updated_at")),
+        ("sidecar", "string", None),
+    ),
+    "observation": (
+        ("object", "string", "object_name"), ("observer", "string", None), ("site", "string", None),
+        ("captureDate", "string", _ISO.format("capture_date")),
+    ),
+    "plateSolving": (
+        ("solved", "boolean", "is_plate_solved"), ("provider", "string", None), ("ra", "double", "ra_center_degrees"),
+        ("dec", "double", "dec_center_degrees"), ("fieldOfView", "double", "field_radius_degrees"),
+        ("pixelScale", "double", "pixel_scale_arcsec"), ("rotation", "double", "rotation_degrees"),
+    ),
+    "exposure": (
+        ("exposureTime", "double", "exposure_time_seconds"), ("gain", "double", "gain"), ("iso", "string", None),
+        ("binning", "string", None), ("temperature", "string", None), ("filter", "string", "filter_name"),
+    ),
+    "equipment": (
+        ("camera", "string", "camera_name"), ("telescope", "string", "telescope_name"), ("focalLength", "string", None),
+        ("aperture", "string", None),
+    ),
+    "classification": (("rating", "bigint", "rating"), ("subtype", "string", "subtype")),
+}
+
+
 @registry.query(
     "a15_json_documents",
-    duck("images") + "SELECT id, file_name AS name, file_size_bytes AS size, ra_center_degrees AS ra,"
-    f" camera_name AS camera, {_ISO.format('capture_date')} AS taken, rating, 7 AS sections"
-    " FROM images",
+    duck("images")
+    + "SELECT id, 7 AS sections, "
+    + ", ".join(
+        f"{column or 'NULL::varchar'} AS {section}_{field}, 1 AS has_{section}_{field}"
+        for section, fields in _DOCUMENT_FIELDS.items()
+        for field, _, column in fields
+    )
+    + " FROM images",
 )
 def a15(spark, sf_dir):
-    shape = (
-        "struct<file:struct<name:string,size:bigint>,plateSolving:struct<ra:double>,"
-        "equipment:struct<camera:string>,observation:struct<captureDate:string>,"
-        "classification:struct<rating:bigint>>"
+    """All 33 fields, and that each is there even if it is null."""
+    shape = ", ".join(
+        f"{section}: struct<{', '.join(f'{field}: {kind}' for field, kind, _ in fields)}>"
+        for section, fields in _DOCUMENT_FIELDS.items()
     )
-    documents = exports.metadata_documents(images(spark, sf_dir))
+    documents = exports.metadata_documents(images(spark, sf_dir)).select(
+        "id", "document", F.from_json("document", f"struct<{shape}>").alias("d"),
+        F.from_json("document", "map<string,string>").alias("texts"),
+    )
+    here = lambda section, field: F.array_contains(F.json_object_keys(F.col("texts")[section]), field).cast("int")
     return documents.select(
-        "id", F.from_json("document", shape).alias("d"),
+        "id",
         F.size(F.json_object_keys("document")).alias("sections"),
-    ).select(
-        "id", "d.file.name", "d.file.size", "d.plateSolving.ra", "d.equipment.camera",
-        F.col("d.observation.captureDate").alias("taken"), "d.classification.rating", "sections",
-    )
+        *[
+            c
+            for section, fields in _DOCUMENT_FIELDS.items()
+            for field, *_ in fields
+            for c in (
+                F.col(f"d.{section}.{field}").alias(f"{section}_{field}"),
+                here(section, field).alias(f"has_{section}_{field}"),
+            )
+        ],
+    )
+
+
+_NUMBER_LINE = "coalesce(nullif({}, 0)::varchar, '')"
+_LINES = (
+    ("File Name", "file_name"), ("File Format", "file_format"), ("File Size (MB)", "printf('%.2f', file_size_bytes / 1048576)"),
+    ("File Path", "file_path"), ("File Created", "''"), ("File Modified", f"coalesce({_ISO.format('file_last_modified')}, '')"),
+    ("Indexed At", "''"), ("Last Updated", _ISO.format("updated_at")), ("Object Name", "coalesce(object_name, '')"),
+    ("Observer", "''"), ("Site", "''"), ("Capture Date", f"coalesce({_ISO.format('capture_date')}, '')"),
+    ("Plate Solved", "CASE WHEN is_plate_solved THEN 'Yes' ELSE 'No' END"), ("Plate Solve Provider", "''"),
+    ("Right Ascension", _NUMBER_LINE.format("ra_center_degrees")), ("Declination", _NUMBER_LINE.format("dec_center_degrees")),
+    ("Field of View", _NUMBER_LINE.format("field_radius_degrees")), ("Pixel Scale", _NUMBER_LINE.format("pixel_scale_arcsec")),
+    ("Rotation", _NUMBER_LINE.format("rotation_degrees")), ("Exposure Time (s)", _NUMBER_LINE.format("exposure_time_seconds")),
+    ("Gain", _NUMBER_LINE.format("gain")), ("ISO", "''"), ("Binning", "''"), ("Temperature (°C)", "''"),
+    ("Filter", "coalesce(filter_name, '')"), ("Camera", "coalesce(camera_name, '')"), ("Telescope", "coalesce(telescope_name, '')"),
+    ("Focal Length (mm)", "''"), ("Aperture (f/)", "''"), ("Rating", _NUMBER_LINE.format("rating")), ("Classification", "subtype"),
+)
 
 
 @registry.query(
     "a16_field_lines",
-    duck("images") + "SELECT id, field, \"value\" FROM (SELECT id, unnest(['File Name', 'File Size"
-    " (MB)', 'Plate Solved', 'Camera', 'Rating']) AS field, unnest([file_name, printf('%.2f',"
-    " file_size_bytes / 1048576), CASE WHEN is_plate_solved THEN 'Yes' ELSE 'No' END,"
-    " coalesce(camera_name, ''), coalesce(nullif(rating, 0)::varchar, '')]) AS \"value\" FROM images)",
+    duck("images")
+    + f"SELECT id, unnest(range(1, {len(_LINES) + 1}))::integer AS line,"
+    + f" unnest([{', '.join(repr(title) for title, _ in _LINES)}]) AS field,"
+    + f" unnest([{', '.join(value for _, value in _LINES)}]) AS \"value\" FROM images",
 )
 def a16(spark, sf_dir):
-    lines = exports.field_lines(images(spark, sf_dir))
-    shown = ["File Name", "File Size (MB)", "Plate Solved", "Camera", "Rating"]
-    return lines.filter(F.col("field").isin(*shown)).select("id", "field", "value")
+    """All 31 lines of every image, in their order."""
+    return exports.field_lines(images(spark, sf_dir)).select("id", "line", "field", "value")
