@@ -196,3 +196,23 @@ def test_cells_cover_every_position(spark):
         levels = spark.range(geo.MAX_LEVEL + 1).select(F.col("id").cast("int").alias("_level"))
         own = crossmatch.catalog_cells(points, "ra", "dec", levels).select("id", "cell_id")
         assert circles.join(own, ["id", "cell_id"], "left_semi").select("id").distinct().count() == 2000
+
+
+def test_pairs_of_an_image_meet_in_one_task(sky):
+    images, objects = sky
+    plan = crossmatch.field_match(images, objects, cap=50)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("SortMergeJoin")[0]
+    assert "WindowGroupLimit" in above and "Exchange" not in above
+
+
+def test_nearest_of_split_cells_and_repeated_images(sky, monkeypatch):
+    images, objects = sky
+    moved = images.withColumn("dec_center_degrees", -F.col("dec_center_degrees")).filter("id % 2 = 0")
+    twice = images.unionAll(moved)
+    pairs = crossmatch.circle_join(twice, objects).select("id", "catalog_type", "designation", "separation")
+    want = sorted(map(tuple, crossmatch.nearest_per_type(pairs, 3).collect()))
+    for limit, tested in ((20, 1000), (500_000, 1000), (500_000, 20_000_000)):
+        monkeypatch.setattr(crossmatch, "PAIRS_PER_TASK", tested)
+        found = crossmatch.circle_join(twice, objects, rows_per_task=limit, keep_cells=True)
+        near = crossmatch.nearest_per_type(found, 3).select(*pairs.columns)
+        assert sorted(map(tuple, near.collect())) == want
