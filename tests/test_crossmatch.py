@@ -216,3 +216,41 @@ def test_nearest_of_split_cells_and_repeated_images(sky, monkeypatch):
         found = crossmatch.circle_join(twice, objects, rows_per_task=limit, keep_cells=True)
         near = crossmatch.nearest_per_type(found, 3).select(*pairs.columns)
         assert sorted(map(tuple, near.collect())) == want
+
+
+def test_coverage_of_carried_exposure_equals_the_join(sky, monkeypatch):
+    from skyframe.operators import search, stats
+
+    images, objects = sky
+    images = images.withColumn("exposure_time_seconds", F.when(F.col("id") % 7 > 0, F.col("id") * 1.5))
+    moved = images.withColumn("dec_center_degrees", -F.col("dec_center_degrees")).filter("id % 9 = 0")
+    odd = images.withColumn("id", F.when(F.col("id") % 11 > 0, F.col("id")))
+    objects = objects.unionAll(objects.filter("designation < 'O2'"))
+    for tested in (20_000_000, 1000):
+        monkeypatch.setattr(crossmatch, "PAIRS_PER_TASK", tested)
+        for rows in (images, odd.unionAll(moved).unionAll(images.filter("id % 4 = 0"))):
+            plain = crossmatch.field_match(rows, objects)
+            carried = crossmatch.field_match(
+                stats.with_exposure(rows), objects, keep=stats.EXPOSURE, keep_cells=True
+            )
+            for one, other in (
+                (search.coverage(plain, rows), search.coverage(carried)),
+                (stats.object_exposure(plain, rows), stats.object_exposure(carried)),
+            ):
+                values = [
+                    sorted([tuple(round(v, 3) if isinstance(v, float) else v for v in r) for r in d.select(one.columns).collect()])
+                    for d in (one, other)
+                ]
+                assert values[0] == values[1] and values[0]
+
+
+def test_carried_exposure_shuffles_totals_only(sky):
+    from skyframe.operators import search, stats
+
+    images, objects = sky
+    images = images.withColumn("exposure_time_seconds", F.lit(1.0))
+    found = crossmatch.field_match(
+        stats.with_exposure(images), objects, cap=50, keep=stats.EXPOSURE, keep_cells=True
+    )
+    plan = search.coverage(found)._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    assert plan.count("Exchange") == 1
