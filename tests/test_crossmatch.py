@@ -198,8 +198,9 @@ def test_cells_cover_every_position(spark):
         assert circles.join(own, ["id", "cell_id"], "left_semi").select("id").distinct().count() == 2000
 
 
-def test_pairs_of_an_image_meet_in_one_task(sky):
+def test_pairs_of_an_image_meet_in_one_task(sky, monkeypatch):
     images, objects = sky
+    monkeypatch.setattr(crossmatch, "PAIRS_PER_TASK", 1000)
     plan = crossmatch.field_match(images, objects, cap=50)._jdf.queryExecution().executedPlan().toString()
     above = plan.split("SortMergeJoin")[0]
     assert "WindowGroupLimit" in above and "Exchange" not in above
@@ -244,9 +245,10 @@ def test_coverage_of_carried_exposure_equals_the_join(sky, monkeypatch):
                 assert values[0] == values[1] and values[0]
 
 
-def test_carried_exposure_shuffles_totals_only(sky):
+def test_carried_exposure_shuffles_totals_only(sky, monkeypatch):
     from skyframe.operators import search, stats
 
+    monkeypatch.setattr(crossmatch, "PAIRS_PER_TASK", 1000)
     images, objects = sky
     images = images.withColumn("exposure_time_seconds", F.lit(1.0))
     found = crossmatch.field_match(
