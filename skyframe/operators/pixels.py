@@ -80,7 +80,8 @@ def stretch(pixels: DataFrame, key: str = "image_id", value: str = "value") -> D
     Shadows are clipped 1.25 deviations below the median, and the midtones are balanced so that
     the background lands at a quarter of the range.
     """
-    parameters = stretch_parameters(pixels, key, value)
+    # One row per image, stored so that its size is known: small ones are copied to the pixels, which then need no sort.
+    parameters = written(stretch_parameters(pixels, key, value), "stretch-parameters")
     shadow, m = F.col("_shadow"), F.col("_balance")
     clipped = F.when(_unit() < shadow, shadow).otherwise(_unit())
     rescaled = F.when(shadow < 1, (clipped - shadow) / (1 - shadow)).otherwise(clipped)
