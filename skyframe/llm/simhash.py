@@ -94,7 +94,8 @@ def links(prints: DataFrame) -> DataFrame:
     cells = _cells(prints)
     near = _around(cells).withColumnRenamed("print", "high")
     apart: Column = F.bit_count(F.col("high").bitwiseXOR(F.col("low")))
-    pairs = cells.withColumnRenamed("print", "low").join(near, ["half", "cell"])
+    # About 50 rows come from each print, which Spark sizes as one: never a table to broadcast.
+    pairs = cells.withColumnRenamed("print", "low").join(near.hint("merge"), ["half", "cell"])
     return pairs.where((F.col("low") < F.col("high")) & (apart <= MAX_BITS)).select("high", "low").distinct()
 
 

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from skyframe.llm import exact_dedup, simhash
+from skyframe.llm.common import saved
 from skyframe.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, digit string, rest string, print long, root long"
@@ -54,6 +55,12 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_cells_around_a_print_are_not_broadcast(spark):
+    prints = saved(spark.range(1000).select(F.xxhash64("id").alias("print")), "prints")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def slow_print(text):
     """By the contract, bit by bit."""
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).translate(
