@@ -1,8 +1,9 @@
 """Rows that stay in the task that made them, and headers that are read once."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from skyframe.operators import pixels
+from skyframe.operators import crossmatch, pixels, updates
 from skyframe.plans import batch
 from skyframe.sources import headers
 from skyframe.streaming.store import latest_matches
@@ -82,3 +83,27 @@ def test_xml_is_parsed_once(spark):
 def test_pixels_are_not_sorted_to_meet_their_image(spark):
     df = spark.createDataFrame([(i % 2, float(i)) for i in range(20)], "image_id long, value double")
     assert "SortMergeJoin" not in pixels.stretch(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_designations_merge_where_they_were_found(spark, catalog, monkeypatch):
+    monkeypatch.setattr(crossmatch, "PAIRS_PER_TASK", 2)  # so that the sides are dealt to tasks by cell
+    images = image_rows(spark, 3)
+    key = ["image_id", "catalog_type", "catalog_designation"]
+    found = crossmatch.field_match(images, catalog, keep_cells=True)
+    both = F.explode(F.array("catalog_designation", F.concat(F.lit(" "), "catalog_designation"))).alias("catalog_designation")
+    merged = updates.normalise_designations(found.select(*key[:2], both, *[c for c in found.columns if c in crossmatch.CELL_KEYS]), key[2], key)
+    assert merged.columns == key
+    want = crossmatch.field_match(images, catalog).select(*key)
+    assert sorted(merged.collect()) == sorted(want.collect())
+    assert "hashpartitioning(image_id" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_designations_of_an_image_in_several_cells_merge_across_them(spark):
+    rows = [(1, "A 1", 0.3, "AUTOMATIC", 7, True), (1, "A1", 0.2, "AUTOMATIC", 8, True), (1, "A1", 0.9, "MANUAL", 9, True),
+            (2, "A1", 0.4, "AUTOMATIC", 7, False), (2, "A 1", 0.1, "AUTOMATIC", 7, False), (None, "B", 0.1, "AUTOMATIC", 7, False), (None, "B ", 0.2, "AUTOMATIC", 7, False)]
+    df = spark.createDataFrame(rows, "image_id long, name string, separation double, source string, cell_id long, _spread boolean")
+    got = updates.normalise_designations(df, "name", ["image_id", "name"])
+    assert got.columns == ["image_id", "name", "separation", "source"]
+    assert {tuple(r) for r in got.collect()} == {(1, "A1", 0.9, "MANUAL"), (2, "A1", 0.1, "AUTOMATIC"), (None, "B", 0.1, "AUTOMATIC")}
+    bare = updates.normalise_designations(df.drop("separation", "source"), "name", ["image_id", "name"])
+    assert sorted(bare.collect(), key=str) == sorted([(1, "A1"), (2, "A1"), (None, "B")], key=str)
