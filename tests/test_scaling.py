@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.match_queries import rounded
 from skyframe.operators import crossmatch, pixels, updates
 from skyframe.plans import batch
 from skyframe.sources import headers
@@ -85,6 +86,14 @@ def test_pixels_are_not_sorted_to_meet_their_image(spark):
     assert "SortMergeJoin" not in pixels.stretch(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rounding_is_that_of_decimals(spark):
+    values = [0.0, -0.0, -1e-9, 0.0005, 0.0015, 0.0025, -0.0015, 1.0005, 2.6755, 0.1235, 123456.7895, 1e15 / 3, -1e300, float("nan"), float("inf"), None]
+    values += [(i - 5000) * 0.0005 for i in range(10_000)] + [i / 7 for i in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select(rounded("x", 3).cast("string").alias("got"), F.bround("x", 3).cast("string").alias("want"))
+    assert got.filter(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+
+
 def test_designations_merge_where_they_were_found(spark, catalog, monkeypatch):
     monkeypatch.setattr(crossmatch, "PAIRS_PER_TASK", 2)  # so that the sides are dealt to tasks by cell
     images = image_rows(spark, 3)
